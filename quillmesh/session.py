@@ -40,9 +40,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the checkpoint folder and reads it from there, so that its lineage ends and a lost
-    executor costs nothing but the tasks it ran."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    executor costs nothing but the tasks it ran.
+
+    A checkpoint keeps the size estimate of the plan it came from. In a loop of joins these estimates multiply until
+    arithmetic on them takes longer than the job, so the rows are wrapped anew, with the size unknown; at run time
+    adaptive execution sees the real sizes.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    saved = df.checkpoint(eager=True)
+    rows = saved._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, saved._jdf.schema(), False), spark)
 
 
 def parallelism(spark: SparkSession) -> int:
