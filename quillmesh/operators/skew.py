@@ -40,3 +40,30 @@ def range_rank(df: DataFrame, order: list[Column], rank: str = "rank", partition
         total += sizes.get(p, 0)
     offset = F.element_at(F.lit(starts or [0]).cast("array<bigint>"), (part + 1).cast("int"))
     return place.withColumn(rank, offset + row + 1).drop("__id")
+
+
+def range_cumulate(df: DataFrame, order: list[str], weight: str, total: str = "cum", partitions: int | None = None) -> DataFrame:
+    """Running sum of an integer weight over all rows in the given order, the row's own weight included.
+
+    As range_rank: rows are range-partitioned and sorted, each partition sums up its rows as a stream, and adds the sum
+    of the partitions before it; one sum a partition reaches the driver. The order must be unique.
+    """
+    parts = partitions or parallelism(df.sparkSession)
+    ranged = cut(df.withColumn(weight, F.col(weight).cast("bigint")).repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    sums = {r[0]: r[1] for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(weight)).collect()}
+    starts, so_far = [], 0
+    for p in range(max(sums, default=-1) + 1):
+        starts.append(so_far)
+        so_far += sums.get(p, 0)
+    placed = ranged.withColumn(total, F.element_at(F.lit(starts or [0]).cast("array<bigint>"), F.spark_partition_id() + 1))
+
+    def add(batches):
+        carried = 0
+        for batch in batches:
+            running = batch[weight].cumsum() + carried
+            if len(batch):
+                carried = int(running.iloc[-1])
+            batch[total] = batch[total] + running
+            yield batch
+
+    return placed.mapInPandas(add, placed.schema)
