@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import components, duplicates, splitting
+from quillmesh.llm import components, duplicates, packing, quality, splitting
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,5 +39,22 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces_table(items)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p6_found, p6_pieces)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    packed = packing.pack_documents(packing.token_counts(_t(spark, d, "documents")))
+    return packed.where("n_parts > 1 and part_no = 0").select("doc_id")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(packing.token_counts(_t(spark, d, "documents")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.prose_report(_t(spark, d, "documents")).where("not is_prose").select("doc_id")
+
+
+def p9_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.prose_report(_t(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p6_found, p6_pieces, p7_found, p7_containers, p9_found, p9_stats)}
 SQL: dict[str, str] = {}
