@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import components, duplicates, packing, quality, splitting
+from quillmesh.llm import components, duplicates, leaks, packing, quality, splitting
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,14 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(packing.token_counts(_t(spark, d, "documents")))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_item")).select("item_id", "doc_id")
+
+
+def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_item"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.prose_report(_t(spark, d, "documents")).where("not is_prose").select("doc_id")
 
@@ -56,5 +64,5 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.prose_report(_t(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p6_found, p6_pieces, p7_found, p7_containers, p9_found, p9_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_stretches, p9_found, p9_stats)}
 SQL: dict[str, str] = {}
