@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import components, duplicates, leaks, packing, quality, splitting
+from quillmesh.llm import components, duplicates, leaks, neighbours, packing, quality, splitting
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,22 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return facts.select(F.lit("fact").alias("src"), "*").unionAll(chunks.select(F.lit("chunk").alias("src"), "*"))
 
 
+FIELDS = ("embedding", "name_embedding")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    entity = _t(spark, d, "entity")
+    one, two = (neighbours.close_pairs(entity, "ent_id", f).select(F.lit(f).alias("field"), F.col("a").alias("ent_a"), F.col("b").alias("ent_b")) for f in FIELDS)
+    return one.unionAll(two)
+
+
+def p2_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar entities of every entity whose id is divisible by 20, against all entities."""
+    entity, asked = _t(spark, d, "entity"), F.col("id") % 20 == 0
+    one, two = (neighbours.similar_vectors(entity, "ent_id", f, 10, probes=48, margin=2.0, queries=asked).select(F.lit(f).alias("field"), "*") for f in FIELDS)
+    return one.unionAll(two)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.entity_groups(_t(spark, d, "synonym_pair"), _t(spark, d, "entity"))
 
@@ -64,5 +80,5 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.prose_report(_t(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_stretches, p9_found, p9_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topk, p5_found, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_stretches, p9_found, p9_stats)}
 SQL: dict[str, str] = {}
