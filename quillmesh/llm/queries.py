@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import components, duplicates, leaks, neighbours, packing, quality, splitting
+from quillmesh.llm import components, duplicates, leaks, names, neighbours, packing, quality, splitting
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,14 @@ def p2_topk(spark: SparkSession, d: str) -> DataFrame:
     return one.unionAll(two)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(_t(spark, d, "mention"), _t(spark, d, "entity")).select("mention_id", "ent_id")
+
+
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(_t(spark, d, "mention"), _t(spark, d, "entity"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.entity_groups(_t(spark, d, "synonym_pair"), _t(spark, d, "entity"))
 
@@ -80,5 +88,5 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.prose_report(_t(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topk, p5_found, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_stretches, p9_found, p9_stats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topk, p3_found, p3_links, p5_found, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_stretches, p9_found, p9_stats)}
 SQL: dict[str, str] = {}
