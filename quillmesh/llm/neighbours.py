@@ -16,8 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.session import cut
-
 #: Vectors a cell should hold, and limits of the number of cells and of the k-means sample (rows).
 CELL_SIZE, MAX_CELLS, SAMPLE_PER_CELL, MAX_SAMPLE = 200, 16_384, 24, 131_072
 #: Vectors or queries of one cell that meet in one task at most.
@@ -126,7 +124,8 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries
 def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int, dim: int = 64, least: float = -1.0, probes: int = 8, margin: float = 0.25, queries: Column | None = None) -> DataFrame:
     """(query, id, cosine, rank) of up to k most similar vectors for each query vector.
 
-    Only usable vectors take part (see usable); an id that repeats takes part once. `queries` is a condition on `id` that
+    Only usable vectors take part (see usable). A row that is delivered again is seen once, where it meets its twin in a
+    cell; an id that has several vectors is searched with each of them and keeps its best. `queries` is a condition on `id` that
     names the queries (all, if none). A query goes to at most `probes` cells, those whose centre's similarity is less than
     the best by at most `margin`; this alone can lose neighbours. least: pairs below this cosine are not reported. A cell
     of more than BLOCK vectors or queries is cut into blocks of both, so no task grows with a cell's share of the data.
@@ -134,7 +133,6 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int, dim: int =
     spark = df.sparkSession
     schema = "query bigint, id bigint, cosine double"
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"), dim))
-    rows = cut(rows.groupBy("id").agg(F.min("v").alias("v")))
     n = rows.count()
     if not n:
         return spark.createDataFrame([], schema + ", rank int")
@@ -174,12 +172,14 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int, dim: int =
     blocks = as_data.unionByName(as_query).select("cell", "a", "b", "id", "vec", "data", "both")
 
     def search(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.drop_duplicates(["id", "vec", "data"])
         x = np.frombuffer(b"".join(g["vec"]), np.float32).reshape(len(g), dim)
         ids, data, q = g["id"].to_numpy(), g["data"].to_numpy(bool), (~g["data"] | g["both"]).to_numpy(bool)
         got = search_block(ids[data], x[data], ids[q], x[q], centres[key[0]], rotation, k, least) if data.any() and q.any() else []
         return pd.DataFrame(got, columns=["query", "id", "cosine"]).astype({"query": "int64", "id": "int64", "cosine": "float64"})
 
     found = blocks.groupBy("cell", "a", "b").applyInPandas(search, schema)
+    found = found.groupBy("query", "id").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
