@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import nested
+from quillmesh.plans import nested, scalars
 
 FLAGSHIP = "p4_found"
-QUERIES = {**nested.QUERIES}
-SQL: dict[str, str] = {**nested.SQL}
+PLANS = (scalars, nested)
+QUERIES = {k: v for plan in PLANS for k, v in plan.QUERIES.items()}
+SQL: dict[str, str] = {k: v for plan in PLANS for k, v in plan.SQL.items()}
