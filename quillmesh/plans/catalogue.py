@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import nested, scalars
+from quillmesh.plans import graphs, nested, reports, retrieval, scalars, search
 
-FLAGSHIP = "p4_found"
-PLANS = (scalars, nested)
+FLAGSHIP = "hybrid_retrieve"
+PLANS = (scalars, retrieval, graphs, search, reports, nested)
 QUERIES = {k: v for plan in PLANS for k, v in plan.QUERIES.items()}
 SQL: dict[str, str] = {k: v for plan in PLANS for k, v in plan.SQL.items()}
