@@ -121,7 +121,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries
     return out
 
 
-def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int, dim: int = 64, least: float = -1.0, probes: int = 8, margin: float = 0.25, queries: Column | None = None) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int, dim: int = 64, least: float = -1.0, probes: int = 8, margin: float = 0.15, queries: Column | None = None) -> DataFrame:
     """(query, id, cosine, rank) of up to k most similar vectors for each query vector.
 
     Only usable vectors take part (see usable). A row that is delivered again is seen once, where it meets its twin in a
