@@ -40,7 +40,7 @@ def chunk_sentences(sentences: Column, config: RetrievalConfig = RetrievalConfig
 
     folded = F.aggregate(sents, start, add, lambda a: F.when(F.size(a["buf"]) > 0, F.concat(a["out"], F.array(F.array_join(a["buf"], " ")))).otherwise(a["out"]))
     small = (F.size(sents) <= config.chunk_keep_sentences) & (chars <= config.chunk_chars)
-    return F.filter(F.transform(F.when(small, F.array(F.array_join(sents, " "))).otherwise(folded), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.when(small, F.array(F.array_join(sents, " "))).otherwise(folded), lambda t: T.strip(t)), lambda t: t != "")
 
 
 def build_chunks(questions: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
