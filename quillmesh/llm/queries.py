@@ -89,4 +89,15 @@ def p9_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topk, p3_found, p3_links, p5_found, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_stretches, p9_found, p9_stats)}
-SQL: dict[str, str] = {}
+_KEY = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '^ent::', ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_TRIM = "regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
+
+#: Problems whose result SQL can state; the others are tested against brute force, round trips or planted cases.
+SQL: dict[str, str] = {
+    "p5_found": f"""with recursive names as (select distinct {_KEY.format('canonical')} k, ent_id from entity), links as (select distinct x.ent_id a, y.ent_id b from synonym_pair p join names x on x.k = {_KEY.format('p.a')} join names y on y.k = {_KEY.format('p.b')} where x.ent_id <> y.ent_id),
+        edges as (select a, b from links union select b, a from links), reach(ent_id, other) as (select a, b from edges union select r.ent_id, e.b from reach r join edges e on e.a = r.other)
+        select ent_id, least(ent_id, min(other)) group_id from reach group by ent_id""",
+    "p6_found": f"""with q as (select distinct on (id) id, context from question order by id), p as (select id, unnest(context) par, generate_subscripts(context, 1) - 1 ctx_no from q),
+        t as (select id, ctx_no, array_to_string(list_filter(list_transform(par.sentences, lambda s: {_TRIM.format('s')}), lambda s: s is not null and regexp_matches(s, '[^\\s\\p{{Z}}]')), ' ') as text from p)
+        select 'chunk' src, chunk_id::varchar item_id, 0 ctx_no from chunk where length({_TRIM.format('text')}) > 800 union all select 'question', id, ctx_no from t where length(text) > 800""",
+}
