@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quillmesh.operators.skew import salted_join
 from quillmesh.session import cut
 
-#: Everything but letters, digits and the marks that belong to letters.
-_IGNORED = r"[^\p{L}\p{N}\p{M}]+"
+#: Everything but letters, digits and the marks that belong to letters; selectors and joiners among the marks show nothing.
+_IGNORED = r"[^\p{L}\p{N}\p{M}]+|[\x{FE00}-\x{FE0F}\x{034F}\x{180B}-\x{180D}]+"
 #: A field's label: up to four words that begin the field and end in a colon.
 _LABEL = r"[\p{L}][\p{L}\p{N}'’()/ _.\-]{0,39}:"
 #: What may stand between two fields, if a label follows.

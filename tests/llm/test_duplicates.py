@@ -23,7 +23,7 @@ def members(spark, texts):
 
 
 def test_looks(spark):
-    texts = ["Ann met Bob in 1990.", "ANN MET BOB IN 1990", "- ann, met ​bob «in» 1990…", "Ann met Bob in 1991.", "Bob met Ann in 1990.", None, "", "Ann met Bob in 1990."]
+    texts = ["Ann met Bob in 1990.", "ANN MET BOB IN 1990", "- ann, m\ufe0fet ​bob «in» 1990…", "Ann met Bob in 1991.", "Bob met Ann in 1990.", None, "", "Ann met Bob in 1990."]
     assert members(spark, texts) == [(1, 2), (1, 3), (1, 8)]
 
 
