@@ -14,9 +14,12 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
 
 def first_arrivals(rows: DataFrame, key: str, at: str, late: str = "14 days") -> DataFrame:
     """Each key once, as first delivered; state older than the watermark is dropped, and with it what comes later still.
-    Rows without a time are kept at no time: they are taken as of the epoch and so never seen as new after the start."""
-    timed = rows.withColumn(at, F.coalesce(F.col(at).cast("timestamp"), F.lit("1970-01-01").cast("timestamp")))
-    return timed.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+    Rows without a time cannot age: their keys are remembered for good, apart from those with a time.
+    """
+    timed = rows.where(F.col(at).isNotNull()).withColumn(at, F.col(at).cast("timestamp"))
+    untimed = rows.where(F.col(at).isNull()).withColumn(at, F.col(at).cast("timestamp"))
+    return timed.withWatermark(at, late).dropDuplicatesWithinWatermark([key]).unionByName(untimed.dropDuplicates([key]))
 
 
 def counts_by_window(rows: DataFrame, at: str, by: str, width: str = "1 day", late: str = "14 days") -> DataFrame:
