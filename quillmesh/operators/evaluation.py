@@ -78,3 +78,27 @@ def answer_prompt(context: Column, question: Column, priming: str = "reasoning-f
     tails = {"answer-first": "Answer first, then give the reasoning.\nAnswer:", "answer-only": "Give the answer only.\nAnswer:"}
     tail = tails.get(priming, "Give the reasoning first, then a line `Answer: ...`.\nReasoning:")
     return F.concat(F.lit("Context:\n"), F.coalesce(context, F.lit("")), F.lit("\n\nQuestion: "), F.coalesce(question, F.lit("")), F.lit(f"\n\n{tail}"))
+
+
+def judge_score(raw: Column, field: str) -> Column:
+    """A number out of the first flat JSON object of a judge's answer; null if there is none or it is no number."""
+    flat = F.try_parse_json(F.regexp_extract(F.coalesce(raw, F.lit("")), r"(?s)\{[^{}]*\}", 0))
+    return F.try_variant_get(flat, f"$.{field}", "double")
+
+
+def timing_summary(rows: DataFrame, milliseconds: str = "retrieve_total_ms") -> DataFrame:
+    """One row: questions and mean seconds a question, three decimals."""
+    return rows.agg(F.count("*").alias("n_questions"), F.round(F.avg(milliseconds) / 1000, 3).alias("retrieve_sec_per_q"))
+
+
+def config_grid(spark, **values: list) -> DataFrame:
+    """All combinations of the given values, each once, as text; a grid of settings is small by nature."""
+    from itertools import product
+
+    rows = list(dict.fromkeys(product(*([str(v) for v in vs] for vs in values.values()))))
+    return spark.createDataFrame(rows, ", ".join(f"`{k}` string" for k in values))
+
+
+def unpivot(scores: DataFrame, key: list[str], columns: list[str], name: str = "method", value: str = "value") -> DataFrame:
+    """Columns of scores as rows."""
+    return scores.unpivot(key, columns, name, value)

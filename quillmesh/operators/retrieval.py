@@ -199,3 +199,52 @@ def best_per_chain(paths: DataFrame, k: int) -> DataFrame:
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in the order of a digest of seed and key: the same on every run and engine."""
     return rows.withColumn("digest", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))).orderBy("digest", key).limit(n)
+
+
+def similar_pairs(docs: DataFrame, least: float, vectors: tuple[str, ...] = ("vec", "name_vec")) -> DataFrame:
+    """(a, b, similarity), a < b, of all pairs whose mean cosine is at least `least`; exact, rounded to four places.
+
+    Every row is a query against all rows, QUERY_BLOCK queries at a time: no shuffle and nothing but links leaves a task,
+    but the work is quadratic. For millions of vectors an approximate search is the better choice.
+    """
+    usable = docs
+    for v in vectors:
+        usable = usable.where(_usable(F.col(v), None))
+    usable = usable.select("doc_id", *vectors).dropDuplicates(["doc_id"])
+    found = None
+
+    def against(rows: list) -> DataFrame:
+        ids = np.array([r[0] for r in rows])
+        sides = [[np.asarray(r[1 + i], np.float64) for r in rows] for i in range(len(vectors))]
+        dims = [len(s[0]) for s in sides]
+        matrices = [np.stack([v / np.linalg.norm(v) if len(v) == d else np.zeros(d) for v in s]) for s, d in zip(sides, dims)]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                fits = np.ones(len(b), bool)
+                for v, d in zip(vectors, dims):
+                    fits &= b[v].map(len).to_numpy() == d
+                b = b[fits]
+                if not len(b):
+                    continue
+                sims = 0.0
+                for v, m in zip(vectors, matrices):
+                    x = np.stack(b[v].to_numpy()).astype(np.float64)
+                    sims = sims + m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                sims = np.round(sims / len(vectors), 9)
+                doc = b["doc_id"].to_numpy()
+                r, c = np.nonzero((sims >= least) & (ids[:, None] < doc))
+                yield pd.DataFrame({"a": ids[r], "b": doc[c], "similarity": np.round(sims[r, c], 4)})
+
+        return usable.mapInPandas(run, "a bigint, b bigint, similarity double")
+
+    block: list = []
+    for r in usable.orderBy("doc_id").toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            part = against(block)
+            found, block = part if found is None else found.unionAll(part), []
+    if block:
+        part = against(block)
+        found = part if found is None else found.unionAll(part)
+    return found if found is not None else docs.sparkSession.createDataFrame([], "a bigint, b bigint, similarity double")

@@ -86,11 +86,16 @@ def tied_winners(spark: SparkSession, d: str) -> DataFrame:
     return R.tied_winners(scores, ["doc_id"], 0.05, 0.3).select("doc_id", "query_id", F.col("score"))
 
 
+def synonym_edges(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of entities whose mean cosine of both vectors is at least 0.85."""
+    return R.similar_pairs(entity_docs(spark, d), 0.85)
+
+
 def error_sample(spark: SparkSession, d: str) -> DataFrame:
     return R.seeded_sample(table(spark, d, "chunk").where("status = 'failed'").select("chunk_id"), "chunk_id", 50, 42).select("chunk_id")
 
 
-QUERIES = {f.__name__: f for f in (bm25_facts, bm25_norm, hybrid_retrieve, seed_documents, composed_entity, dense_direct, pagerank_anchors, adaptive_adjacent, adaptive_top1, winner_assignment, tied_winners, error_sample)}
+QUERIES = {f.__name__: f for f in (bm25_facts, bm25_norm, hybrid_retrieve, seed_documents, composed_entity, dense_direct, pagerank_anchors, adaptive_adjacent, adaptive_top1, winner_assignment, tied_winners, synonym_edges, error_sample)}
 
 _ASKED = "asked as (select item_id query_id, question as text, embedding::double[] vec from eval_item join embeddings on vec_id = item_id)"
 _ENT = "ent as (select distinct on (ent_id) ent_id doc_id, display || ': ' || coalesce(definition, '') as text, embedding::double[] vec, name_embedding::double[] name_vec from entity order by ent_id, loaded_at)"
@@ -129,5 +134,6 @@ SQL = {
     "adaptive_top1": f"with {_ASKED}, {_ENT}, {_DENSE}, g as (select query_id, doc_id, sim, row_number() over (partition by query_id order by sim desc, doc_id) rn, max(sim) over (partition by query_id) best from top where sim >= 0.2e0) select query_id, doc_id, rn from g where rn <= 5 and (rn <= 1 or round(best - sim, 9) <= 0.05e0)",
     "winner_assignment": f"with {_ASKED}, {_ENT}, {_DENSE}, e as (select *, max(sim) over (partition by query_id) best from top) select doc_id, query_id, sim score from e where round(sim - best, 9) >= -0.1e0 qualify row_number() over (partition by doc_id order by sim desc, query_id) = 1",
     "tied_winners": f"with {_ASKED}, {_ENT}, {_DENSE}, e as (select *, max(sim) over (partition by doc_id) best from top where sim >= 0.3e0) select doc_id, query_id, sim score from e where round(best - sim, 9) <= 0.05e0",
+    "synonym_edges": f"with {_ENT}, u as (select doc_id, vec, name_vec from ent where {_ok('vec')} and {_ok('name_vec')}), p as (select x.doc_id a, y.doc_id b, round(({_cos('x.vec', 'y.vec')} + {_cos('x.name_vec', 'y.name_vec')}) / 2e0, 9) s from u x join u y on x.doc_id < y.doc_id) select a, b, round(s, 4) similarity from p where s >= 0.85e0",
     "error_sample": "select chunk_id from chunk where status = 'failed' order by md5('42|' || chunk_id::varchar), chunk_id limit 50",
 }

@@ -68,3 +68,15 @@ def markdown(table: DataFrame, most: int = 5_000) -> str:
         raise ValueError(f"a report of more than {most} rows")
     head = "| " + " | ".join(table.columns) + " |\n|" + "---|" * len(table.columns)
     return "\n".join([head, *("| " + " | ".join("--" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
+
+
+def read_or_default(spark: SparkSession, path: str, schema: str, default: list[tuple]) -> DataFrame:
+    """JSON lines, or the default rows where the file is missing; these are then written there."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    rows = spark.createDataFrame(default, schema)
+    rows.write.json(path)
+    return rows
