@@ -22,8 +22,8 @@ from quillmesh.plans.retrieval import asked, entity_docs, fact_docs
 from quillmesh.session import cut
 from quillmesh.sources.tables import table
 
-#: The vectors stand in for a text encoder and are less alike than its vectors, so the floors lie lower.
-CONFIG = RetrievalConfig(match_threshold=0.1, later_round_floor=0.1, max_rounds=2)
+#: The vectors stand in for a text encoder and are less alike than its vectors, so an entity matches from 0.3 on; fewer rounds keep the query short.
+CONFIG = RetrievalConfig(match_threshold=0.3, max_rounds=2, extra_rounds=1)
 DIM = 64
 
 
@@ -51,9 +51,9 @@ def questions(spark: SparkSession, d: str) -> S.Questions:
     shape = spark.createDataFrame(kinds, "qid bigint, slot int, slot_key string, virtual boolean, attribute string")
     slots = vec.select("question_id", "vec").join(F.broadcast(shape), how="cross")
     bm = R.normalized_scores(R.bm25_scores(fact_docs(spark, d), q.select("query_id", "text")))
-    top = R.top_k(bm.withColumn("score", F.round("score", 9)), ["query_id"], [F.desc("score"), F.col("doc_id")], 100)
-    lexical = cut(top.select(F.col("query_id").alias("question_id"), F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("qid"), F.col("doc_id").alias("rel_id"), "score"))
-    seeds = cut(top.where(F.col("rank") <= 10).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("rel_id")))
+    top = cut(R.top_k(bm.withColumn("score", F.round("score", 9)), ["query_id"], [F.desc("score"), F.col("doc_id")], 100))
+    lexical = top.select(F.col("query_id").alias("question_id"), F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("qid"), F.col("doc_id").alias("rel_id"), "score")
+    seeds = top.where(F.col("rank") <= 10).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("rel_id"))
     return S.Questions(subq, slots, start, lexical, seeds)
 
 
