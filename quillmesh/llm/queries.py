@@ -73,11 +73,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_item")).select("item_id", "doc_id")
+    return leaks.repeated_items(_t(spark, d, "documents"), _t(spark, d, "eval_item")).select("item_id", "doc_id")
 
 
 def p8_stretches(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_item"))
+    return leaks.repeated_items(_t(spark, d, "documents"), _t(spark, d, "eval_item"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
