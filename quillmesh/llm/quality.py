@@ -2,8 +2,9 @@
 
 One pass over the text makes a narrow row of statistics. Each statistic is then ranked exactly within its language: equal
 values are counted together, the distinct values are range-partitioned and sorted, and partition offsets turn places
-into cumulative counts. The tail probabilities of all statistics combine into an outlier score. Documents with an
-ordinary score are prose; the others are prose if sentences hold most of their characters, which is counted exactly, window by window.
+into cumulative counts. The tail probabilities of all statistics combine into an outlier score, which tells how unusual
+a document is. An ordinary score alone makes no prose (copies of one list look ordinary to each other): a document is
+prose if sentences hold most of its characters, which is counted exactly, window by window.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ WINDOW = 40
 WORDS_PER_COMMON = 20
 #: ... and at most this share of symbols and digits.
 SYMBOLS = 0.14
-#: Documents whose outlier score is at least this are looked at window by window.
-OUTLIER_SCORE = 3.0
+#: Languages with fewer distinct texts than this are ranked together.
+LEAST_GROUP = 100
 
 STATS = ("mean_word", "symbol_share", "line_end_share", "common_share", "digit_share", "line_words")
 
@@ -42,11 +43,11 @@ def language(lang: Column) -> Column:
 
 def document_stats(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, n_chars, n_words, mean_word, symbol_share, line_end_share, common_share, digit_share, line_words,
-    sentence_share) of every document.
+    sentence_share, digest) of every document.
 
     lang is the language with the most common words, or else the one that is declared, or else `und`. Shares are of
     characters without white space (symbols, digits), of lines that are not blank (line ends), of words (common words).
-    sentence_share is the share of characters in windows that belong to sentences. A null or blank text has zeros
+    sentence_share is the share of characters in windows that belong to sentences, digest that of the text. A null or blank text has zeros
     throughout. Whole texts are counted.
     """
     doc = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), language(F.col(lang)).alias("tag")).where("doc_id is not null")
@@ -81,7 +82,7 @@ def document_stats(df: DataFrame, id_col: str = "doc_id", text: str = "text", la
 
     hits = [hits_of(v.split()).alias(f"h_{k}") for k, v in COMMON_WORDS.items()]
     counted = doc.select(
-        "doc_id", "tag", words.alias("words"), F.length("t").alias("n_chars"), F.size("lines").alias("lines"),
+        "doc_id", "tag", F.md5("t").alias("digest"), words.alias("words"), F.length("t").alias("n_chars"), F.size("lines").alias("lines"),
         F.size(F.filter("lines", lambda x: F.right(x, F.lit(1)).isin(line_ends))).alias("ends"),
         (F.length("t") - F.length(F.translate("t", "0123456789", ""))).alias("digits"),
         total(lambda w: w["letters"]).alias("letters"), total(lambda w: w["black"]).alias("black"), total(in_sentence).alias("prose"),
@@ -103,6 +104,7 @@ def document_stats(df: DataFrame, id_col: str = "doc_id", text: str = "text", la
         ratio(F.col("digits"), "black").alias("digit_share"),
         ratio(F.col("n_words"), "lines").alias("line_words"),
         ratio(F.col("prose"), "n_chars").alias("sentence_share"),
+        "digest",
     )
 
 
@@ -123,7 +125,15 @@ def outlier_scores(stats: DataFrame, names: tuple[str, ...] = STATS) -> DataFram
 
 
 def prose_report(df: DataFrame) -> DataFrame:
-    """Statistics of every document with its outlier score and is_prose."""
+    """Statistics of every document with its outlier score and is_prose.
+
+    Scores are those of distinct texts, so that copies do not make each other ordinary; languages with few texts are
+    ranked together, so that a text is not alone.
+    """
     stats = cut(document_stats(df))
-    scored = stats.join(outlier_scores(stats), "doc_id")
-    return scored.withColumn("is_prose", (F.col("score") < OUTLIER_SCORE) | (F.col("sentence_share") >= 0.5))
+    texts = stats.groupBy("digest", "lang").agg(F.min("doc_id").alias("doc_id"), *(F.first(n).alias(n) for n in STATS))
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("texts"))
+    ranked = cut(salted_join(texts, sizes, ["lang"]).withColumn("group", F.when(F.col("texts") < LEAST_GROUP, F.lit("few")).otherwise(F.col("lang"))))
+    scores = outlier_scores(ranked.drop("lang").withColumnRenamed("group", "lang"))
+    keyed = ranked.select("doc_id", "digest", "lang").join(scores, "doc_id").drop("doc_id")
+    return salted_join(stats, keyed, ["digest", "lang"]).withColumn("is_prose", F.col("sentence_share") >= 0.5).drop("digest")

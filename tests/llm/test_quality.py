@@ -62,3 +62,11 @@ def test_bad_rows(spark):
     assert len(rows) == 5 and rows[0].n_words == 0 and rows[4].is_prose and rows[4].n_words > 50_000
     assert Q.prose_report(frame(spark, [])).isEmpty()
     assert Counter(r.lang for r in rows.values())["und"] >= 2
+
+
+def test_copies_and_lone_junk_are_no_prose(spark):
+    """Copies of one text tie in every statistic, and a text that is alone in its language ties with itself."""
+    docs = [(JUNK["box"], "en")] * 9 + [(PROSE["en"], "en")] + [(JUNK["base64"], None)] + [(PROSE["de"], "de")] * 2
+    rows = {r.doc_id: r for r in Q.prose_report(frame(spark, docs)).collect()}
+    assert [i for i, r in sorted(rows.items()) if r.is_prose] == [9, 11, 12]
+    assert len({rows[i].score for i in range(9)}) == 1 and rows[0].score > 0 and rows[10].score > 0
