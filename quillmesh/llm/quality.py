@@ -24,10 +24,19 @@ COMMON_WORDS = {
     "es": "de la el los las en y que por un una es era con se su para como pero al ya del",
 }
 
+#: Words by which a window is read as a sentence of the document's language. In French and Spanish
+#: the articles and de, of which names are made too, are left out here; other frequent words stand in for them.
+SENTENCE_WORDS = COMMON_WORDS | {
+    "fr": "à et en était que pour un une est dans il elle mais ce car qui par on ne pas se été sont fut avait plus avec lors cette dont où après avant pendant selon ses son sa leur alors bien peu ainsi",
+    "es": "en y que por un una es era con se su para como pero al ya fue no ha más sus este esta cuando donde aunque desde hasta durante según antes después sin entonces poco también está estaba había",
+}
+
 #: Words of a window, within a paragraph, in which sentences are told from lists, tables and junk.
 WINDOW = 40
-#: A window belongs to a sentence if it has a common word in this many words at most, ...
+#: A window belongs to a sentence if it has a common word of the document's language in this many words at most, ...
 WORDS_PER_COMMON = 20
+#: ... so many of them at least, or one in lower case and the end of a sentence (else it may be part of a name: War, Los), ...
+LEAST_COMMON = 2
 #: ... and at most this share of symbols and digits.
 SYMBOLS = 0.14
 #: Languages with fewer distinct texts than this are ranked together.
@@ -51,7 +60,6 @@ def document_stats(df: DataFrame, id_col: str = "doc_id", text: str = "text", la
     throughout. Whole texts are counted.
     """
     doc = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), language(F.col(lang)).alias("tag")).where("doc_id is not null")
-    every = sorted({w for v in COMMON_WORDS.values() for w in v.split()})
     paragraphs = F.split("t", r"\n\s*\n\s*")
     windows = F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(p, F.lit(rf"(?:\S+(?:\s+|\z)){{1,{WINDOW}}}"), F.lit(0))))
 
@@ -59,14 +67,25 @@ def document_stats(df: DataFrame, id_col: str = "doc_id", text: str = "text", la
         return F.length(F.translate(x, " \n\r\t\u00a0", ""))
 
     def read(w: Column) -> Column:
-        return F.struct(F.length(w).alias("chars"), black(w).alias("black"), F.filter(F.split(F.lower(w), r"[^\p{L}\p{M}]+"), lambda x: x != "").alias("words"))
+        return F.struct(w.alias("raw"), F.length(w).alias("chars"), black(w).alias("black"), F.filter(F.split(F.lower(w), r"[^\p{L}\p{M}]+"), lambda x: x != "").alias("words"))
 
     def measure(w: Column) -> Column:
-        return F.struct(w["chars"].alias("chars"), w["black"].alias("black"), w["words"].alias("words"), F.length(F.array_join(w["words"], "")).alias("letters"), F.size(F.filter(w["words"], lambda x: x.isin(every))).alias("common"))
+        return F.struct(w["raw"].alias("raw"), w["chars"].alias("chars"), w["black"].alias("black"), w["words"].alias("words"), F.length(F.array_join(w["words"], "")).alias("letters"))
+
+    def lone(w: Column) -> Column:
+        return F.exists(F.split(w["raw"], r"[^\p{L}\p{M}]+"), lambda x: F.array_contains("own", x)) & w["raw"].rlike(r"[.!?…][\"'”’»)\]]*(\s|$)")
+
+    def count_of(w: Column, common: list[str]) -> Column:
+        return F.size(F.filter(w["words"], lambda x: x.isin(common)))
+
+    def counted_in(w: Column) -> Column:
+        """The words of the document's language: constant sets are hashed, and only one of them is looked at."""
+        common = F.coalesce(*(F.when(F.col("found") == k, count_of(w, v.split())) for k, v in SENTENCE_WORDS.items()), F.lit(0))
+        return F.struct(w["raw"].alias("raw"), w["chars"].alias("chars"), w["black"].alias("black"), w["letters"].alias("letters"), F.size(w["words"]).alias("n"), common.alias("common"))
 
     def in_sentence(w: Column) -> Column:
-        fine = (w["common"] > 0) & (w["common"] * WORDS_PER_COMMON >= F.size(w["words"])) & (w["black"] - w["letters"] <= w["chars"] * SYMBOLS)
-        return F.when(fine, w["chars"]).otherwise(0)
+        fine = (w["common"] > 0) & (w["common"] * WORDS_PER_COMMON >= w["n"]) & (w["black"] - w["letters"] <= w["chars"] * SYMBOLS)
+        return F.when(fine & ((w["common"] >= LEAST_COMMON) | lone(w)), w["chars"]).otherwise(0)
 
     def total(of) -> Column:
         return F.aggregate("w", F.lit(0), lambda acc, w: acc + of(w))
@@ -75,22 +94,19 @@ def document_stats(df: DataFrame, id_col: str = "doc_id", text: str = "text", la
     lines = F.filter(F.transform(F.split("t", "\n"), lambda x: F.rtrim(x, F.lit(" \t\r\"'”’»)]"))), lambda x: x != "")
     doc = doc.select("doc_id", "tag", "t", F.transform(windows, read).alias("w"), lines.alias("lines"))
     doc = doc.select("doc_id", "tag", "t", "lines", F.transform("w", measure).alias("w"))
-    words = F.flatten(F.transform("w", lambda w: w["words"]))
-
-    def hits_of(common: list[str]) -> Column:
-        return F.size(F.filter("words", lambda x: x.isin(common)))
-
-    hits = [hits_of(v.split()).alias(f"h_{k}") for k, v in COMMON_WORDS.items()]
+    doc = doc.withColumn("all", F.flatten(F.transform("w", lambda w: w["words"])))
+    doc = doc.select("*", *(F.size(F.filter("all", (lambda w: lambda x: x.isin(w))(v.split()))).alias(f"h_{k}") for k, v in COMMON_WORDS.items()))
+    most = F.greatest(*(F.col(f"h_{k}") for k in COMMON_WORDS))
+    found = F.coalesce(*(F.when((F.col(f"h_{k}") == most) & (most > 0), F.lit(k)) for k in COMMON_WORDS))
+    own = F.coalesce(*(F.when(found == k, F.array(*map(F.lit, v.split()))) for k, v in SENTENCE_WORDS.items()), F.array().cast("array<string>"))
+    doc = doc.select("*", found.alias("found"), F.coalesce(found, F.col("tag"), F.lit("und")).alias("lang"), most.alias("common"), own.alias("own"))
+    doc = doc.withColumn("w", F.transform("w", counted_in)).withColumn("n_words", F.size("all")).drop("all")
     counted = doc.select(
-        "doc_id", "tag", F.md5("t").alias("digest"), words.alias("words"), F.length("t").alias("n_chars"), F.size("lines").alias("lines"),
+        "doc_id", "lang", "common", F.md5("t").alias("digest"), "n_words", F.length("t").alias("n_chars"), F.size("lines").alias("lines"),
         F.size(F.filter("lines", lambda x: F.right(x, F.lit(1)).isin(line_ends))).alias("ends"),
         (F.length("t") - F.length(F.translate("t", "0123456789", ""))).alias("digits"),
         total(lambda w: w["letters"]).alias("letters"), total(lambda w: w["black"]).alias("black"), total(in_sentence).alias("prose"),
     )
-    counted = counted.select("*", F.size("words").alias("n_words"), *hits)
-    most = F.greatest(*(F.col(f"h_{k}") for k in COMMON_WORDS))
-    found = F.coalesce(*(F.when((F.col(f"h_{k}") == most) & (most > 0), F.lit(k)) for k in COMMON_WORDS))
-    counted = counted.withColumn("lang", F.coalesce(found, F.col("tag"), F.lit("und"))).withColumn("common", most)
 
     def ratio(a: Column, b: str) -> Column:
         return F.coalesce(F.try_divide(a.cast("double"), F.col(b).cast("double")), F.lit(0.0))

@@ -70,3 +70,12 @@ def test_copies_and_lone_junk_are_no_prose(spark):
     rows = {r.doc_id: r for r in Q.prose_report(frame(spark, docs)).collect()}
     assert [i for i, r in sorted(rows.items()) if r.is_prose] == [9, 11, 12]
     assert len({rows[i].score for i in range(9)}) == 1 and rows[0].score > 0 and rows[10].score > 0
+
+
+def test_names_with_a_common_word_are_no_sentences(spark):
+    box = "Name: René Mrebrikel\nAwards: 2x Kareldian War\nDied: 10 December 1885\nSpouse: Edward Slaslelek\nKnown for: Hidden Mybbelor"
+    french = ", ".join(f"{x} de la {y}" for x in ("Rue", "Pont", "Club", "Ligue") for y in ("Mer", "Tour", "Paix", "Gare", "Croix"))
+    spanish = "\n".join(f"{x} de los {y}" for x in ("Casa", "Plaza", "Club", "Liga") for y in ("Reyes", "Santos", "Llanos"))
+    prose = ["The mill has 16 members.", "Deborah Dryggikal resigned in 1858 and founded the shipyard of Hesobek.", PROSE["fr"], PROSE["es"]]
+    rows = Q.prose_report(frame(spark, [(t, "en") for t in (box, french, spanish, *prose)])).collect()
+    assert sorted(r.doc_id for r in rows if not r.is_prose) == [0, 1, 2]
