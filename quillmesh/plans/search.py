@@ -22,8 +22,8 @@ from quillmesh.plans.retrieval import asked, entity_docs, fact_docs
 from quillmesh.session import cut
 from quillmesh.sources.tables import table
 
-#: The vectors stand in for a text encoder and are less alike than its vectors, so an entity matches from 0.3 on; fewer rounds keep the query short.
-CONFIG = RetrievalConfig(match_threshold=0.3, max_rounds=2, extra_rounds=1)
+#: The vectors stand in for a text encoder and are less alike than its vectors, so an entity matches from 0.3 on.
+CONFIG = RetrievalConfig(match_threshold=0.3)
 DIM = 64
 
 

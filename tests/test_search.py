@@ -194,3 +194,9 @@ def test_anchor_search_runs_to_an_end(spark):
     known = {(r.question_id, r.var_id) for r in v}
     assert all(r.parent is None or (r.question_id, r.parent) in known for r in v)
     assert all((r.question_id, r.var_id) in known and r.sim >= CONFIG.match_threshold for r in locked.collect())
+
+
+def test_registered_queries_run_all_rounds():
+    from quillmesh.plans import search as P
+
+    assert (P.CONFIG.max_rounds, P.CONFIG.extra_rounds) == (RetrievalConfig().max_rounds, RetrievalConfig().extra_rounds) == (5, 2)
