@@ -51,9 +51,10 @@ def questions(spark: SparkSession, d: str) -> S.Questions:
     shape = spark.createDataFrame(kinds, "qid bigint, slot int, slot_key string, virtual boolean, attribute string")
     slots = vec.select("question_id", "vec").join(F.broadcast(shape), how="cross")
     bm = R.normalized_scores(R.bm25_scores(fact_docs(spark, d), q.select("query_id", "text")))
-    top = cut(R.top_k(bm.withColumn("score", F.round("score", 9)), ["query_id"], [F.desc("score"), F.col("doc_id")], 100))
-    lexical = top.select(F.col("query_id").alias("question_id"), F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("qid"), F.col("doc_id").alias("rel_id"), "score")
-    seeds = top.where(F.col("rank") <= 10).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("rel_id"))
+    bm = cut(bm.withColumn("score", F.round("score", 9)))
+    top = cut(R.top_k(bm, ["query_id"], [F.desc("score"), F.col("doc_id")], CONFIG.seed_top))
+    lexical = bm.select(F.col("query_id").alias("question_id"), F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("qid"), F.col("doc_id").alias("rel_id"), "score")
+    seeds = top.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("rel_id"))
     return S.Questions(subq, slots, start, lexical, seeds)
 
 

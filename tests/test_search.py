@@ -200,3 +200,19 @@ def test_registered_queries_run_all_rounds():
     from quillmesh.plans import search as P
 
     assert (P.CONFIG.max_rounds, P.CONFIG.extra_rounds) == (RetrievalConfig().max_rounds, RetrievalConfig().extra_rounds) == (5, 2)
+
+
+def test_all_facts_have_their_lexical_score(spark, tmp_path):
+    from quillmesh.plans import search as P
+
+    v = [1.0] + [0.5] * 63
+    tables = {
+        "entity": ([(1, "Mill", "a mill", v, v, "place")], "ent_id bigint, display string, definition string, embedding array<double>, name_embedding array<double>, attribute string"),
+        "fact": ([(i, "Mill", f"mill fact{i}") for i in range(150)], "rel_id bigint, source_title string, relation string"),
+        "eval_item": ([(1, "which fact7 of the mill")], "item_id bigint, question string"),
+        "embeddings": ([(1, v)], "vec_id bigint, embedding array<double>"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    q = P.questions(spark, str(tmp_path))
+    assert q.lexical.count() == 2 * 150 and q.seeds.count() == 10
