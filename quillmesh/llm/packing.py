@@ -10,10 +10,12 @@ these numbers.
 from __future__ import annotations
 
 import base64
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,35 +69,41 @@ class Segment:
 def pack_histogram(histogram: dict[int, int], capacity: int) -> tuple[list[Segment], int]:
     """Shortest-pack-first packing of a histogram of sizes 1 .. capacity; gives the segments and the number of containers.
 
-    A pattern is a run of containers that are filled alike. A size goes into the pattern with the least room that takes
-    it; where only a part of a pattern's containers is needed, the pattern is cut in two.
+    A pattern is a run of containers that are filled alike. Sizes come longest first; each item goes into the container
+    with the most room left, if it fits there, else into a new one. Containers with as much room are served together: a
+    step gives each of them one item, and cuts the run in two where fewer are needed.
     """
-    room: dict[int, list[list]] = defaultdict(list)  # room left -> [base, count]
+    room: dict[int, list[list[int]]] = defaultdict(list)  # room left -> runs of [base, count]
+    emptiest: list[int] = []  # a heap of -room, with rooms that may be used up
     segments: list[Segment] = []
     used = 0
+
+    def put(space: int, base: int, count: int) -> None:
+        if space:
+            if not room[space]:
+                heapq.heappush(emptiest, -space)
+            room[space].append([base, count])
+
     for size in sorted((s for s, n in histogram.items() if n > 0), reverse=True):
         assert 0 < size <= capacity
         left, start = histogram[size], 0
-        for space in sorted(s for s in room if s >= size):
-            while left and room[space]:
+        while left:
+            while emptiest and not room[-emptiest[0]]:
+                heapq.heappop(emptiest)
+            space = -emptiest[0] if emptiest else 0
+            if space >= size:
                 base, count = room[space].pop()
-                each = min(space // size, left)
-                take = min(count, left // each)
+                each, take = 1, min(count, left)
                 if take < count:
                     room[space].append([base + take, count - take])
-                segments.append(Segment(size, start, each, base, take))
-                room[space - each * size].append([base, take])
-                left, start = left - each * take, start + each * take
-            if not room[space]:
-                del room[space]
-            if not left:
-                break
-        while left:
-            each = min(capacity // size, left)
-            take = left // each
-            segments.append(Segment(size, start, each, used, take))
-            room[capacity - each * size].append([used, take])
-            used, left, start = used + take, left - each * take, start + each * take
+            else:
+                # nothing fits, so a new container has the most room until it is full
+                space, base, each = capacity, used, min(capacity // size, left)
+                take = left // each
+                used += take
+            segments.append(Segment(size, start, each, base, take))
+            put(space - each * size, base, take)
+            left, start = left - each * take, start + each * take
     return segments, used
 
 
@@ -117,11 +125,16 @@ def pack_documents(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for size in sorted(histogram):
         firsts[size] = before
         before += histogram[size]
-    spark = sizes.sparkSession
-    rows = [(s.size, firsts[s.size] + s.start, firsts[s.size] + s.start + s.each * s.count, s.each, s.base) for s in segments]
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["n_tokens", "lo", "hi", "each", "base"], dtype="int64"), "n_tokens bigint, lo bigint, hi bigint, each bigint, base bigint")
+    # segments own intervals of ranks, without gaps; in order of their first rank
+    owned = sorted((firsts[s.size] + s.start, s.each, s.base) for s in segments)
+    lo, each, base = (np.array(x, np.int64) for x in (zip(*owned) if owned else ((), (), ())))
+
+    @F.pandas_udf("bigint")
+    def container(rank: pd.Series) -> pd.Series:
+        at = rank.to_numpy(np.int64) - 1
+        k = np.searchsorted(lo, at, side="right") - 1
+        return pd.Series(base[k] + (at - lo[k]) // each[k])
+
     ranked = range_rank(items.where("n_tokens > 0"), [F.col("n_tokens"), F.col("doc_id"), F.col("part_no")])
-    at = F.col("rank") - 1
-    placed = ranked.join(F.broadcast(table), ["n_tokens"], "left").where((at >= F.col("lo")) & (at < F.col("hi")))
-    placed = placed.select("doc_id", "part_no", "n_parts", "n_tokens", (F.col("base") + F.floor((at - F.col("lo")) / F.col("each"))).cast("bigint").alias("container"))
+    placed = ranked.select("doc_id", "part_no", "n_parts", "n_tokens", container("rank").alias("container"))
     return placed.unionByName(items.where("n_tokens <= 0").select("*", F.lit(None).cast("bigint").alias("container")))

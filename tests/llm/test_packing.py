@@ -58,3 +58,29 @@ def test_tokens(spark):
     enc = P.encoder(P.VOCABULARY)
     assert got == {i: len(enc.encode_ordinary(t)) for i, t in [(1, "Hello world, hello."), (2, ""), (3, ""), (4, "été 東京 " * 3), (5, "word " * 20_000)]}
     assert enc.decode(enc.encode_ordinary("Any text, 12 été\n\n  x")) == "Any text, 12 été\n\n  x"
+
+
+def test_shortest_pack_first():
+    """The 1 goes to the container with the most room, where best fit would fill the 9 up."""
+    segments, used = P.pack_histogram({9: 1, 5: 1, 1: 1}, 10)
+    assert used == 2 and [(s.size, s.base) for s in segments] == [(9, 0), (5, 1), (1, 1)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_as_item_by_item(seed):
+    """Runs of containers give what placing one item at a time into the emptiest container gives."""
+    rng = random.Random(seed)
+    sizes = sorted((rng.choice([rng.randint(1, 60), 7, 3]) for _ in range(rng.randint(1, 400))), reverse=True)
+    rooms: list[int] = []
+    for s in sizes:
+        at = max(range(len(rooms)), key=lambda i: rooms[i], default=None)
+        if at is not None and rooms[at] >= s:
+            rooms[at] -= s
+        else:
+            rooms.append(60 - s)
+    segments, used = P.pack_histogram(Counter(sizes), 60)
+    filled = Counter()
+    for s in segments:
+        for c in range(s.base, s.base + s.count):
+            filled[c] += s.each * s.size
+    assert used == len(rooms) and sorted(60 - v for v in filled.values()) == sorted(rooms)
