@@ -1,9 +1,9 @@
 """Pieces of bounded size, cut at natural boundaries, with a given overlap.
 
 One regular expression with bounded quantifiers cuts a text: its alternatives, from the strongest boundary to the
-weakest, each take as much as the limit allows. The pieces' offsets are running sums of their lengths; looking back from
-an offset by the overlap gives the start of the piece that is handed out. Everything is built in SQL functions, needs no
-shuffle, and counts code points.
+weakest, each take as much as the limit allows. Looking back over the bodies before a cut gives the overlap that goes
+before the piece, and offsets are running sums of lengths. Everything is built in SQL array functions, needs no shuffle, takes time in
+proportion to a text however long it is, and counts code points.
 """
 
 from __future__ import annotations
@@ -33,6 +33,30 @@ def boundary_pattern(size: int) -> str:
     return "(?s)" + "|".join([rf".{{1,{size}}}\z", *(f".{{{n},{size}}}{e}" for n, e in zip(lows, ends)), f".{{1,{size}}}"])
 
 
+#: Lengths that are summed up at a time, see _ends.
+_RUN = 128
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), where value is worked out once however often `then` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array of lengths. An array that grows item by item is copied at each of them, so it is kept to
+    _RUN items: sums run inside stretches of that many, then over the stretches."""
+
+    def run(xs: Column) -> Column:
+        return F.aggregate(xs, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+
+    def add(runs: Column) -> Column:
+        before = run(F.transform(runs, lambda r: F.element_at(r, -1)))
+        return _let(before, lambda b: F.flatten(F.transform(runs, lambda r, i: F.transform(r, lambda x: x + F.when(i > 0, F.get(b, i - 1)).otherwise(0)))))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(_RUN))
+    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(_let(F.transform(starts, lambda k: run(F.slice(lengths, k + 1, F.lit(_RUN)))), add))
+
+
 def split_pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
     """array<struct<start int, piece string>> of a text that is already trimmed.
 
@@ -41,17 +65,22 @@ def split_pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Co
     body that is white space throughout is not handed out. Null gives null, the empty text an empty array.
     """
     assert 0 <= overlap < limit
-    bodies = F.when(F.length(text) <= limit, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(boundary_pattern(limit - overlap)), F.lit(0)))
-    bodies = F.filter(bodies, lambda b: b != "")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,piece:string>>").alias("out"))
-
-    def step(acc: Column, body: Column) -> Column:
-        end = acc["at"] + F.length(body)
-        start = F.greatest(acc["at"] - F.lit(overlap), F.lit(0))
-        made = F.struct(start.alias("start"), F.substring(text, start + 1, end - start).alias("piece"))
-        return F.struct(end.alias("at"), F.when(body.rlike(r"[^\s\p{Z}]"), F.concat(acc["out"], F.array(made))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(bodies, zero, step, lambda acc: acc["out"])
+    pattern = F.lit(boundary_pattern(limit - overlap))
+    bodies = F.when(F.length(text) > limit, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.filter(F.array(text), lambda b: b != ""))
+
+    def before(cuts: Column, k: Column) -> Column:
+        """The last `overlap` code points before cut k: of the body before it, or of as many as there are code points."""
+        last = F.get(cuts, k - 1)
+        far = F.array_join(F.slice(cuts, F.greatest(k - overlap, F.lit(0)) + 1, F.least(k, F.lit(overlap))), "")
+        return F.when(k == 0, F.lit("")).otherwise(F.right(F.when(F.length(last) >= overlap, last).otherwise(far), F.lit(overlap)))
+
+    def place(cuts: Column) -> Column:
+        over = F.transform(cuts, lambda b, k: before(cuts, k)) if overlap else F.transform(cuts, lambda b: F.lit(""))
+        both = F.arrays_zip(cuts.alias("body"), over.alias("over"), _running(F.transform(cuts, F.length)).alias("end"))
+        return F.transform(both, lambda x: F.struct((x["end"] - F.length(x["body"]) - F.length(x["over"])).alias("start"), F.concat(x["over"], x["body"]).alias("piece"), x["body"].rlike(r"[^\s\p{Z}]").alias("shown")))
+
+    shown = F.filter(_let(bodies, place), lambda x: x["shown"])
+    return F.when(text.isNotNull(), F.transform(shown, lambda x: F.struct(x["start"].alias("start"), x["piece"].alias("piece"))))
 
 
 def chunk_items(chunks: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +54,15 @@ def test_items(spark):
     table = S.pieces_table(items.where("item_id = '1'"))
     assert [(r.piece_no, r.start, r.n_chars) for r in table.orderBy("piece_no").collect()] == [(0, 0, 700), (1, 600, 201)]
     assert S.oversized(items.limit(0)).isEmpty()
+
+
+def test_giant_text(spark):
+    """One text of 4 million code points is cut in time in proportion to its length."""
+    rng = random.Random(5)
+    text = sample(rng, 20_000)
+    text = (text + " ") * (4_000_000 // len(text))
+    start = time.perf_counter()
+    got = pieces(spark, [text.strip()], 800, 100)[0]
+    took = time.perf_counter() - start
+    assert len(got) > 5000 and all(text[p.start : p.start + len(p.piece)] == p.piece for p in got[:: len(got) // 50])
+    assert took < 60
