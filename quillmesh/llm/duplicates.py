@@ -16,8 +16,8 @@ from quillmesh.session import cut
 
 #: Everything but letters, digits and the marks that belong to letters; selectors and joiners among the marks show nothing.
 _IGNORED = r"[^\p{L}\p{N}\p{M}]+|[\x{FE00}-\x{FE0F}\x{034F}\x{180B}-\x{180D}]+"
-#: A field's label: up to four words that begin the field and end in a colon.
-_LABEL = r"[\p{L}][\p{L}\p{N}'’()/ _.\-]{0,39}:"
+#: A field's label: words that begin the field and end in a colon, however many.
+_LABEL = r"\p{L}[\p{L}\p{N}'’()/ _.\-]*+:"
 #: What may stand between two fields, if a label follows.
 _BREAK = rf"(?:[\s\p{{Z}}]*[\r\n;|•·▪‣,/\t]+[\s\p{{Z}}\-*•·–—]*)(?=[\p{{Pi}}\p{{Ps}}\"']?{_LABEL})"
 
@@ -37,8 +37,8 @@ def canonical_text(text: Column) -> Column:
     parts = F.filter(F.split(trimmed, _BREAK), lambda p: F.length(letters_and_digits(p)) > 0)
     is_box = F.coalesce(F.size(parts) >= 2, F.lit(False)) & F.forall(parts, lambda p: p.rlike(rf"^[\s\p{{Z}}\p{{P}}]*{_LABEL}\s*\S"))
     fields = F.array_join(F.array_sort(F.transform(parts, letters_and_digits)), "|")
-    # a colon right at the front is needed of any infobox, and is cheap to look for
-    maybe = F.substring(trimmed, 1, 48).contains(":")
+    # any infobox begins with a label, which is cheap to look for
+    maybe = trimmed.rlike(rf"^[^\p{{L}}\p{{N}}]*+{_LABEL}")
     return F.when(maybe & is_box, F.concat(F.lit("|"), fields)).otherwise(letters_and_digits(text))
 
 

@@ -83,3 +83,9 @@ def test_shuffled_infoboxes_against_brute_force(spark):
         first.setdefault(k, i + 1)
         texts.append(rng.choice(["\n", " | ", "; "]).join(fields))
     assert members(spark, texts) == sorted(want)
+
+
+def test_long_labels_and_late_colons(spark):
+    """Labels of any length make a field; an infobox may begin with any number of marks."""
+    one, two = f"{'Name of the largest tributary ' * 3}: Esk", "Born: 1900"
+    assert members(spark, [f"{one}\n{two}", f"{two} | {one}", f"{'# ' * 40}{two}\n{one}"]) == [(1, 2), (1, 3)]
