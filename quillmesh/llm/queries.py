@@ -85,7 +85,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_stats(spark: SparkSession, d: str) -> DataFrame:
-    return quality.prose_report(_t(spark, d, "documents"))
+    return quality.prose_report(_t(spark, d, "documents"), outliers=True)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topk, p3_found, p3_links, p5_found, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_stretches, p9_found, p9_stats)}

@@ -79,3 +79,46 @@ def test_names_with_a_common_word_are_no_sentences(spark):
     prose = ["The mill has 16 members.", "Deborah Dryggikal resigned in 1858 and founded the shipyard of Hesobek.", PROSE["fr"], PROSE["es"]]
     rows = Q.prose_report(frame(spark, [(t, "en") for t in (box, french, spanish, *prose)])).collect()
     assert sorted(r.doc_id for r in rows if not r.is_prose) == [0, 1, 2]
+
+
+def test_the_ranks_decide(spark):
+    """Lists are told from prose whatever their share; a document whose statistics contradict each other goes where it is
+    less at home, which is for the other documents of its language to say."""
+    rng = random.Random(2)
+    row = lambda i, sent, telling: (i, "en", sent, telling)
+    prose = [row(i, rng.uniform(0.9, 1.0), rng.uniform(0.15, 0.3)) for i in range(1000)]
+    lists = [row(2000 + i, rng.uniform(0.0, 0.1), rng.uniform(0.0, 0.04)) for i in range(1000)]
+
+    def odd(rows):
+        return {r.doc_id for r in Q.prose_scores(spark.createDataFrame(rows, "doc_id bigint, lang string, sentence_share double, telling_share double")).where("score >= threshold").collect()}
+
+    for some in (lists, lists[:10], lists[:1]):
+        assert odd(prose + some) == {r[0] for r in some}
+    assert odd(prose) == set() and odd(lists) == {r[0] for r in lists} and odd([]) == set()
+    mixed = row(5000, 0.2, 0.12)
+    partly = [row(8000 + i, rng.uniform(0.0, 0.5), rng.uniform(0.0, 0.04)) for i in range(1000)]
+    loose = [row(6000 + i, rng.uniform(0.5, 1.0), rng.uniform(0.1, 0.3)) for i in range(1000)]
+    terse = [row(7000 + i, rng.uniform(0.9, 1.0), rng.uniform(0.07, 0.11)) for i in range(1000)]
+    assert 5000 in odd(loose + partly + [mixed]) and 5000 not in odd(prose + lists[:100] + terse + [mixed])
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(3)
+    names = list(Q.BOUNDARY)
+    rows = [(i, rng.choice(["en", "de"]), *(rng.choice([0.0, 1.0, round(rng.random(), 2)]) for _ in names)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, " + ", ".join(f"{n} double" for n in names))
+    got = {r.doc_id: r for r in Q.prose_scores(df).collect()}
+    assert len(got) == 300 and len({r.is_prose for r in df.sparkSession.createDataFrame([(r.score < r.threshold,) for r in got.values()], "is_prose boolean").collect()}) == 2
+
+    def score(values, same):
+        total = 0.0
+        for k, (_, side, weight) in enumerate(Q.BOUNDARY.values()):
+            below, ties = sum(r[2 + k] < values[k] for r in same), sum(r[2 + k] == values[k] for r in same)
+            middle = below + ties / 2
+            total -= weight * math.log(((middle if side < 0 else len(same) - middle) + 0.5) / (len(same) + 1))
+        return total
+
+    for r in rows:
+        same = [x for x in rows if x[1] == r[1]]
+        assert math.isclose(got[r[0]].score, score(r[2:], same), abs_tol=1e-8)
+        assert math.isclose(got[r[0]].threshold, score([v for v, _, _ in Q.BOUNDARY.values()], same), abs_tol=1e-8)
