@@ -10,20 +10,20 @@ from quillmesh.sources.tables import table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    entities = nested.flatten_records(table(spark, d, "extraction"), "raw_id", "payload")["entity"]
+    entities = nested.flatten_level(table(spark, d, "extraction"), "raw_id", "payload", "entity")
     return entities.where(F.col("definition").isNotNull()).select("raw_id", "chunk_no", "event_no", "entity_no")
 
 
 def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten_records(table(spark, d, "extraction"), "raw_id", "payload")["chunk"]
+    return nested.flatten_level(table(spark, d, "extraction"), "raw_id", "payload", "chunk")
 
 
 def p4_events(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten_records(table(spark, d, "extraction"), "raw_id", "payload")["event"]
+    return nested.flatten_level(table(spark, d, "extraction"), "raw_id", "payload", "event")
 
 
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten_records(table(spark, d, "extraction"), "raw_id", "payload")["entity"]
+    return nested.flatten_level(table(spark, d, "extraction"), "raw_id", "payload", "entity")
 
 
 def payload_facts(spark: SparkSession, d: str) -> DataFrame:
