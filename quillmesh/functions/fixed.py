@@ -21,6 +21,9 @@ ATTRIBUTES = [
 #: Words that head the tables of sport and office pages.
 TABLE_HEADERS = ["Nat", "Tenure", "Honours", "Founded", "Position", "Manager"]
 
+#: How an infobox gives a date of birth.
+BIRTH_DATE = r"Born\s*:\s*\(\d{4}-\d{2}-\d{2}\)"
+
 #: Outcomes of the extraction of a chunk.
 STATUSES = ["ok", "retry_ok", "empty", "failed"]
 

@@ -10,6 +10,7 @@ from quillmesh.operators import graph as G
 from quillmesh.operators import nested, passages
 from quillmesh.operators.retrieval import similar_pairs
 from quillmesh.operators.skeleton import slot_key
+from quillmesh.operators.skew import range_rank
 
 
 def usable_entities(entities: Column) -> Column:
@@ -38,9 +39,9 @@ def load_events(payloads: DataFrame, key: str = "raw_id", payload: str = "payloa
     keys = [key, "chunk_no", "event_no"]
     ents = t["entity"].where("name is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("entity_no", "name", "attribute", "definition"))).alias("e"))
     facts = t["event"].join(t["chunk"].select(key, "chunk_no", "title"), [key, "chunk_no"]).join(ents, keys, "left")
-    number = F.col(key) * 1_000_000 + F.col("chunk_no") * 1_000 + F.col("event_no")
     entities = F.transform(F.coalesce("e", F.array().cast(ents.schema["e"].dataType)), lambda x: F.struct(x["name"].alias("name"), x["attribute"].alias("attribute"), x["definition"].alias("definition")))
-    return passages.deduplicate_facts(facts.select(number.alias("rel_id"), "relation", entities.alias("entities"), F.col("title").alias("source_title"), F.col(key).alias("chunk_id")))
+    numbered = range_rank(facts.select(*keys, "relation", "title", "e"), [F.col(k) for k in keys], "rel_id")
+    return passages.deduplicate_facts(numbered.select("rel_id", "relation", entities.alias("entities"), F.col("title").alias("source_title"), F.col(key).alias("chunk_id")))
 
 
 def build_graph(facts: DataFrame, encode, merge_threshold: float = 0.85) -> dict[str, DataFrame]:

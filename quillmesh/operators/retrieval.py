@@ -66,11 +66,32 @@ def normalized_scores(scores: DataFrame) -> DataFrame:
     return scores.join(peak, "query_id").withColumn("score", F.when(F.col("peak") > 0, F.col("score") / F.col("peak")).otherwise(0.0)).drop("peak")
 
 
+def dense_above(docs: DataFrame, queries: DataFrame, slack: float | None = None, floor: float | None = None, vectors: tuple[str, ...] = ("vec",)) -> DataFrame:
+    """(query_id, doc_id, sim) of all documents whose mean cosine is at least `floor`, or within `slack` of the query's
+    best. A batch gives what may still count against its own best; the best of all is known behind the batches."""
+    keep = lambda sims: sims >= (floor if floor is not None else sims.max(axis=1, keepdims=True) - slack - 1e-8)
+    found = _dense_scan(docs, queries, keep, vectors)
+    if slack is None:
+        return found
+    best = found.groupBy("query_id").agg(F.max("sim").alias("__best"))
+    return found.join(F.broadcast(best), "query_id").where(F.round(F.col("sim") - F.col("__best"), 9) >= -slack).drop("__best")
+
+
 def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, vectors: tuple[str, ...] = ("vec",)) -> DataFrame:
-    """(query_id, doc_id, sim, rank): the k documents with the largest mean cosine over the given vector columns.
+    """(query_id, doc_id, sim, rank): the k documents with the largest mean cosine over the given vector columns."""
+
+    def keep(sims: np.ndarray) -> np.ndarray:
+        take = min(k, sims.shape[1])
+        return sims >= -np.partition(-sims, take - 1, axis=1)[:, take - 1 : take]
+
+    return top_k(_dense_scan(docs, queries, keep, vectors).distinct(), ["query_id"], [F.desc("sim"), F.col("doc_id")], k)
+
+
+def _dense_scan(docs: DataFrame, queries: DataFrame, keep, vectors: tuple[str, ...]) -> DataFrame:
+    """(query_id, doc_id, sim) of what `keep` lets through of each batch's matrix of cosines (queries x documents).
 
     queries(query_id, vec). Vectors that are null, of another length, not finite or all zero take no part. The queries
-    reach the tasks as a matrix, QUERY_BLOCK at a time; every batch of documents gives at most k rows a query.
+    reach the tasks as a matrix, QUERY_BLOCK at a time.
     """
     found = None
     order = queries.where(_usable(F.col("vec"), None)).select("query_id", "vec").orderBy("query_id")
@@ -95,9 +116,7 @@ def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, vectors: tuple[str,
                     sims = sims + matrix @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
                 sims = np.round(sims / len(vectors), 9)
                 doc = b["doc_id"].to_numpy()
-                take = min(k, len(doc))
-                floor = -np.partition(-sims, take - 1, axis=1)[:, take - 1]
-                r, c = np.nonzero(sims >= floor[:, None])
+                r, c = np.nonzero(keep(sims))
                 yield pd.DataFrame({"query_id": ids[r], "doc_id": doc[c], "sim": sims[r, c]})
 
         return fits.select("doc_id", *vectors).mapInPandas(run, "query_id bigint, doc_id bigint, sim double")
@@ -111,8 +130,8 @@ def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, vectors: tuple[str,
         part = score(block)
         found = part if found is None else found.unionAll(part)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, sim double, rank int")
-    return top_k(found.distinct(), ["query_id"], [F.desc("sim"), F.col("doc_id")], k)
+        return docs.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, sim double")
+    return found
 
 
 def _usable(vec: Column, dim: int | None) -> Column:

@@ -23,16 +23,16 @@ def synonyms(spark: SparkSession, d: str) -> DataFrame:
 def entity_relations(spark: SparkSession, d: str) -> DataFrame:
     inc = table(spark, d, "incidence")
     ents = table(spark, d, "entity").select("ent_id", F.col("ent_id").alias("entity")).distinct()
-    return G.relations_of(inc, ents).groupBy("entity").agg(F.count("*").alias("n_relations"))
+    return G.relations_of(inc, ents).groupBy("entity").agg(F.count("*").alias("n_relations"), F.sum("rel_id").alias("rel_sum"))
 
 
 def relation_entities(spark: SparkSession, d: str) -> DataFrame:
     rels = table(spark, d, "fact").select("rel_id", F.col("rel_id").alias("relation"))
-    return G.entities_of(table(spark, d, "incidence"), rels).groupBy("relation").agg(F.count("*").alias("n_entities"))
+    return G.entities_of(table(spark, d, "incidence"), rels).groupBy("relation").agg(F.count("*").alias("n_entities"), F.sum("ent_id").alias("ent_sum"))
 
 
 def synonym_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return G.symmetric(synonyms(spark, d)).groupBy("ent_id").agg(F.count("*").alias("n"), F.max("similarity").alias("nearest"))
+    return G.symmetric(synonyms(spark, d)).groupBy("ent_id").agg(F.count("*").alias("n"), F.max("similarity").alias("nearest"), F.sum("other").alias("other_sum"))
 
 
 def two_hop(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,7 @@ def two_hop(spark: SparkSession, d: str) -> DataFrame:
     ents = table(spark, d, "entity").select("ent_id", F.col("ent_id").alias("entity")).distinct()
     reached = G.entities_of(inc, G.relations_of(inc, ents)).where("ent_id <> entity")
     known = G.symmetric(synonyms(spark, d)).select(F.col("ent_id").alias("entity"), F.col("other").alias("ent_id"))
-    return reached.join(known, ["entity", "ent_id"], "left_anti").groupBy("entity").agg(F.count("*").alias("n"))
+    return reached.join(known, ["entity", "ent_id"], "left_anti").groupBy("entity").agg(F.count("*").alias("n"), F.sum("ent_id").alias("ent_sum"))
 
 
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,7 @@ def slot_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subquestion_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return S.neighbours(slots(spark, d)).groupBy("question_id", "qid").agg(F.count("*").alias("n"))
+    return S.neighbours(slots(spark, d)).groupBy("question_id", "qid").agg(F.count("*").alias("n"), F.sum("other").alias("other_sum"))
 
 
 def chains(spark: SparkSession, d: str) -> DataFrame:
@@ -99,13 +99,13 @@ def _pagerank_sql() -> str:
 
 
 SQL = {
-    "entity_relations": "select e.ent_id entity, count(distinct rel_id) n_relations from (select distinct ent_id from entity) e join incidence using (ent_id) group by 1",
-    "relation_entities": "select rel_id relation, count(distinct ent_id) n_entities from fact join incidence using (rel_id) group by 1",
-    "synonym_neighbours": f"with {_SYN} select ent_id, count(*) n, max(similarity) nearest from sym group by 1",
-    "two_hop": f"with {_SYN}, r as (select distinct x.ent_id entity, y.ent_id from incidence x join incidence y using (rel_id) where x.ent_id <> y.ent_id and x.ent_id in (select ent_id from entity)) select entity, count(*) n from r where not exists (select 1 from sym where sym.ent_id = entity and other = r.ent_id) group by 1",
+    "entity_relations": "select e.ent_id entity, count(distinct rel_id) n_relations, sum(distinct rel_id)::bigint rel_sum from (select distinct ent_id from entity) e join incidence using (ent_id) group by 1",
+    "relation_entities": "select rel_id relation, count(distinct ent_id) n_entities, sum(distinct ent_id)::bigint ent_sum from fact join incidence using (rel_id) group by 1",
+    "synonym_neighbours": f"with {_SYN} select ent_id, count(*) n, max(similarity) nearest, sum(other)::bigint other_sum from sym group by 1",
+    "two_hop": f"with {_SYN}, r as (select distinct x.ent_id entity, y.ent_id from incidence x join incidence y using (rel_id) where x.ent_id <> y.ent_id and x.ent_id in (select ent_id from entity)) select entity, count(*) n, sum(ent_id)::bigint ent_sum from r where not exists (select 1 from sym where sym.ent_id = entity and other = r.ent_id) group by 1",
     "pagerank": _pagerank_sql(),
     "slot_table": f"with {_SLOTS} select question_id, qid, slot_key, slot, virtual, embed_text from slots",
-    "subquestion_neighbours": f"with {_SLOTS} select x.question_id, x.qid, count(distinct y.qid) n from slots x join slots y on x.question_id = y.question_id and x.slot_key = y.slot_key and x.qid <> y.qid group by 1, 2",
+    "subquestion_neighbours": f"with {_SLOTS} select x.question_id, x.qid, count(distinct y.qid) n, sum(distinct y.qid)::bigint other_sum from slots x join slots y on x.question_id = y.question_id and x.slot_key = y.slot_key and x.qid <> y.qid group by 1, 2",
     "chains": f"""with recursive {_SLOTS}, nb as (select distinct x.question_id, x.qid a, y.qid b from slots x join slots y using (question_id, slot_key)), r(question_id, qid, o) as (select question_id, a, b from nb union select r.question_id, r.qid, nb.b from r join nb on nb.question_id = r.question_id and nb.a = r.o),
         m as (select question_id, qid, min(o) first from r group by 1, 2) select question_id, qid, dense_rank() over (partition by question_id order by first) - 1 chain from m""",
     "slot_levels": f"""with recursive {_SLOTS}, b as (select question_id, 'q' || qid a, 's' || slot_key b from slots), nb as (select * from b union all select question_id, b, a from b), r(question_id, node, level) as (select distinct question_id, 's' || slot_key, 0 from slots where not virtual union select r.question_id, nb.b, r.level + 1 from r join nb on nb.question_id = r.question_id and nb.a = r.node where r.level < 8)

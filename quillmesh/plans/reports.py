@@ -68,7 +68,7 @@ def probe_confusion(spark: SparkSession, d: str) -> DataFrame:
 def report_grid(spark: SparkSession, d: str) -> DataFrame:
     nation = table(spark, d, "nation")
     scores = table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("method"), F.col("c_mktsegment").alias("dataset"), F.col("c_acctbal").alias("em"))
-    return E.grid_table(scores, nation.select(F.col("n_name").alias("method")), ["method"], "dataset", SEGMENTS[:3], ["em"])
+    return E.grid_table(scores, nation.select(F.col("n_name").alias("method")), ["method"], "dataset", SEGMENTS, ["em"])
 
 
 def resume_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +90,7 @@ def extraction_report(spark: SparkSession, d: str) -> DataFrame:
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "question").dropDuplicates(["id"])
-    return q.select("id", F.length(E.answer_prompt(F.lit("x"), F.col("question"), "answer-only")).alias("n"))
+    return q.select("id", E.answer_prompt(F.lit("x"), F.col("question"), "answer-only").alias("prompt"))
 
 
 def stream_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -128,9 +128,9 @@ SQL = {
     "failure_distribution": f"with l as (select case when chunk_id % 5 <> 0 and chunk_id % 7 = 0 then 'unparseable' else {_LABEL} end label from chunk) select label, count(*) n, round(count(*)::double / (select count(*) from l), 4) fraction from l group by 1",
     "judge_means": "with p as (select distinct on (pair_id) similarity from synonym_pair) select count(*) n_questions, round(avg(similarity), 4) similarity_mean, count(similarity) n_similarity from p",
     "probe_confusion": f"with {_SYN}, e as (select distinct on (ent_id) ent_id, attribute from entity), r as (select coalesce(similarity, -1) >= 0.9e0 said, x.attribute is not distinct from y.attribute same from syn join e x on x.ent_id = a join e y on y.ent_id = b), c as (select count(*) filter (where said and same) tp, count(*) filter (where not said and same) fn, count(*) filter (where said and not same) fp, count(*) filter (where not said and not same) tn from r) select *, round(tp::double / (tp + fn), 4) recall, round(fp::double / (fp + tn), 4) false_merge, round(tp::double / (tp + fp), 4) as precision, round(2e0 * tp / (2 * tp + fp + fn), 4) f1 from c",
-    "report_grid": "with s as (select n_name method, c_mktsegment dataset, avg(c_acctbal) em from customer join nation on c_nationkey = n_nationkey where c_mktsegment in ('AUTOMOBILE', 'BUILDING', 'FURNITURE') group by 1, 2) select n_name method, " + ", ".join(f"coalesce(printf('%.1f', max(em) filter (where dataset = '{s}')), '--') \"{s}_em\"" for s in SEGMENTS[:3]) + ", coalesce(printf('%.1f', avg(em)), '--') avg_em from nation left join s on method = n_name group by 1",
+    "report_grid": "with s as (select n_name method, c_mktsegment dataset, avg(c_acctbal) em from customer join nation on c_nationkey = n_nationkey group by 1, 2) select n_name method, " + ", ".join(f"coalesce(printf('%.1f', max(em) filter (where dataset = '{s}')), '--') \"{s}_em\"" for s in SEGMENTS) + ", coalesce(printf('%.1f', avg(em)), '--') avg_em from nation left join s on method = n_name group by 1",
     "resume_grid": "select n.n_nationkey, r_regionkey n_regionkey from nation n, region where not exists (select 1 from nation m where m.n_nationkey = n.n_nationkey and m.n_regionkey = r_regionkey)",
     "latest_mentions": "select mention_id, typed_by, received_at from mention qualify row_number() over (partition by mention_id order by received_at desc nulls last, typed_by desc nulls last) = 1",
-    "prompts": "select distinct id, length('Context:\nx\n\nQuestion: ' || coalesce(question, '') || '\n\nGive the answer only.\nAnswer:') n from question",
+    "prompts": "select distinct id, ('Context:\nx\n\nQuestion: ' || coalesce(question, '') || '\n\nGive the answer only.\nAnswer:') prompt from question",
     "stream_mentions": "select distinct mention_id from mention",
 }

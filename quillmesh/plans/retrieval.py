@@ -77,12 +77,16 @@ def adaptive_top1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def winner_assignment(spark: SparkSession, d: str) -> DataFrame:
-    scores = _dense(spark, d).select("doc_id", "query_id", F.col("sim").alias("score"))
+    """Each entity goes to the best of the questions that it is near enough to: within 0.1 of the question's nearest."""
+    near = R.dense_above(entity_docs(spark, d), asked(spark, d), slack=0.1)
+    scores = near.select("doc_id", "query_id", F.col("sim").alias("score"))
     return R.assign_winners(scores, ["doc_id"], "query_id", 0.1).select("doc_id", "query_id", F.col("score"))
 
 
 def tied_winners(spark: SparkSession, d: str) -> DataFrame:
-    scores = _dense(spark, d).select("doc_id", "query_id", F.col("sim").alias("score"))
+    """All questions that an entity is as near to as to the nearest, but for 0.05, and at 0.3 at least."""
+    near = R.dense_above(entity_docs(spark, d), asked(spark, d), floor=0.3)
+    scores = near.select("doc_id", "query_id", F.col("sim").alias("score"))
     return R.tied_winners(scores, ["doc_id"], 0.05, 0.3).select("doc_id", "query_id", F.col("score"))
 
 
@@ -132,8 +136,8 @@ SQL = {
     "pagerank_anchors": f"with {_ASKED}, {_ENT}, {_DUAL} select query_id, doc_id, sim, rank from top where (rank <= 5 and sim >= 0.3e0) or rank = 1",
     "adaptive_adjacent": f"with {_ASKED}, {_ENT}, {_DENSE}, g as (select query_id, doc_id, rank rn, round(lag(sim) over (partition by query_id order by rank) - sim, 9) drp from top), b as (select *, max(case when rn > 2 and drp > 0.01e0 then 1 else 0 end) over (partition by query_id order by rn rows unbounded preceding) br from g where rn <= 8) select query_id, doc_id, rn from b where rn <= 2 or br = 0",
     "adaptive_top1": f"with {_ASKED}, {_ENT}, {_DENSE}, g as (select query_id, doc_id, sim, row_number() over (partition by query_id order by sim desc, doc_id) rn, max(sim) over (partition by query_id) best from top where sim >= 0.2e0) select query_id, doc_id, rn from g where rn <= 5 and (rn <= 1 or round(best - sim, 9) <= 0.05e0)",
-    "winner_assignment": f"with {_ASKED}, {_ENT}, {_DENSE}, e as (select *, max(sim) over (partition by query_id) best from top) select doc_id, query_id, sim score from e where round(sim - best, 9) >= -0.1e0 qualify row_number() over (partition by doc_id order by sim desc, query_id) = 1",
-    "tied_winners": f"with {_ASKED}, {_ENT}, {_DENSE}, e as (select *, max(sim) over (partition by doc_id) best from top where sim >= 0.3e0) select doc_id, query_id, sim score from e where round(best - sim, 9) <= 0.05e0",
+    "winner_assignment": f"with {_ASKED}, {_ENT}, {_DENSE}, e as (select *, max(sim) over (partition by query_id) best from sims) select doc_id, query_id, sim score from e where round(sim - best, 9) >= -0.1e0 qualify row_number() over (partition by doc_id order by sim desc, query_id) = 1",
+    "tied_winners": f"with {_ASKED}, {_ENT}, {_DENSE}, e as (select *, max(sim) over (partition by doc_id) best from sims where sim >= 0.3e0) select doc_id, query_id, sim score from e where round(best - sim, 9) <= 0.05e0",
     "synonym_edges": f"with {_ENT}, u as (select doc_id, vec, name_vec from ent where {_ok('vec')} and {_ok('name_vec')}), p as (select x.doc_id a, y.doc_id b, round(({_cos('x.vec', 'y.vec')} + {_cos('x.name_vec', 'y.name_vec')}) / 2e0, 9) s from u x join u y on x.doc_id < y.doc_id) select a, b, round(s, 4) similarity from p where s >= 0.85e0",
     "error_sample": "select chunk_id from chunk where status = 'failed' order by md5('42|' || chunk_id::varchar), chunk_id limit 50",
 }

@@ -52,7 +52,7 @@ def table_heuristic(spark: SparkSession, d: str) -> DataFrame:
 
 def wrapped_json(spark: SparkSession, d: str) -> DataFrame:
     raw = F.col("payload")
-    return table(spark, d, "extraction").select("raw_id", F.length(T.strip_wrappers(raw)).alias("n_chars"), T.json_array(raw).isNotNull().alias("has_array"))
+    return table(spark, d, "extraction").select("raw_id", T.strip_wrappers(raw).alias("bare"), T.json_array(raw).alias("array_text"))
 
 
 def normalized_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -67,11 +67,12 @@ def em_f1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_extraction(spark: SparkSession, d: str) -> DataFrame:
-    """Transcripts made of the questions: one answer line, or the answer as the last line."""
+    """Transcripts made of the questions: one answer line, the answer as the last line, or below its label."""
     q = table(spark, d, "question").select("id", "question", "answer").distinct()
     lined = F.concat(F.lit("Reasoning: "), F.col("question"), F.lit("\nFinal Answer: \""), F.col("answer"), F.lit("\"\n"))
     bare = F.concat(F.col("question"), F.lit("\n\n`"), F.col("answer"), F.lit("` "))
-    return q.select("id", T.extract_answer(lined).alias("lined"), T.extract_answer(bare).alias("bare"), T.reasoning_of(lined).alias("reasoning"))
+    below = F.concat(F.lit("answer :\n\n"), F.col("answer"), F.lit("\nHope this helps"))
+    return q.select("id", T.extract_answer(lined).alias("lined"), T.extract_answer(bare).alias("bare"), T.extract_answer(below).alias("below"), T.reasoning_of(lined).alias("reasoning"))
 
 
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -146,14 +147,14 @@ SQL = {
     "relation_texts": f"select rel_id, case when {_TITLE} then '(' || source_title || ') ' || relation else relation end shown, case when {_TITLE} then '(' || source_title || ': ' || relation || ')' else relation end embed_text, case when {_TITLE} then '(' || source_title || ': (' || source_title || ') ' || relation || ')' else relation end index_text from fact",
     "entity_texts": "select distinct ent_id, display || ': ' || coalesce(definition, '') index_text from entity",
     "table_heuristic": f"select chunk_id, regexp_matches(coalesce(text, ''), 'Born\\s*:\\s*\\(\\d{{4}}-\\d{{2}}-\\d{{2}}\\)') or (len(l) >= 3 and regexp_matches(coalesce(text, ''), '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(TABLE_HEADERS)})($|[^\\p{{L}}\\p{{N}}_])')) or (len(l) >= 4 and len({_VERBLESS})::double / len(l) > 0.7e0) is_table from (select chunk_id, text, {_LINES} l from chunk)",
-    "wrapped_json": "select raw_id, length(t) n_chars, regexp_matches(t, '(?s)\\[.*\\]') has_array from (select raw_id, trim(regexp_replace(regexp_replace(payload, '(?s)<think>.*?</think>', '', 'g'), '```[a-zA-Z]*', '', 'g')) t from extraction)",
+    "wrapped_json": "select raw_id, t bare, nullif(regexp_extract(t, '(?s)\\[.*\\]'), '') array_text from (select raw_id, trim(regexp_replace(regexp_replace(payload, '(?s)<think>.*?</think>', '', 'g'), '```[a-zA-Z]*', '', 'g')) t from extraction)",
     "normalized_answers": f"select distinct id, {NORM.format('answer')} answer, {NORM.format('question')} question from question",
     "em_f1": f"""with m as (select distinct mention_id, name, definition from mention), n as (select mention_id, {NORM.format('name')} p, {NORM.format('definition')} g from m),
         t as (select mention_id, p, g, list_filter(string_split(p, ' '), lambda x: x <> '') ps, list_filter(string_split(g, ' '), lambda x: x <> '') gs from n),
         s as (select *, coalesce(list_sum(list_transform(list_distinct(ps), lambda w: least(len(list_filter(ps, lambda y: y = w)), len(list_filter(gs, lambda y: y = w))))), 0) shared from t),
         f as (select mention_id, (p = g)::int em, round(case when len(ps) = 0 or len(gs) = 0 then (len(ps) = len(gs))::int::double else 2e0 * shared / (len(ps) + len(gs)) end, 6) f1 from s)
         select *, case when em = 1 then 'ok' when f1 > 0.3e0 then 'partial' else 'wrong' end mark from f""",
-    "answer_extraction": "select distinct id, coalesce(trim(answer, ' \t\r\n\"''`'), '') lined, coalesce(trim(answer, ' \t\r\n\"''`'), '') bare, coalesce(left(case when answer is null then '' else trim(question) end, 300), '') reasoning from question",
+    "answer_extraction": "select distinct id, coalesce(trim(answer, ' \t\r\n\"''`'), '') lined, coalesce(trim(answer, ' \t\r\n\"''`'), '') bare, case when answer is null then '' when trim(answer, ' \t\r\n') = '' then 'Hope this helps' else trim(answer, ' \t\r\n\"''`') end below, coalesce(left(case when answer is null then '' else trim(question) end, 300), '') reasoning from question",
     "status_counts": f"select s status, count(chunk_id) n from (select unnest([{', '.join(repr(s) for s in STATUSES)}]) s) k left join chunk on status = s group by s",
     "question_sizes": f"select distinct id, {_SIZE} size from question",
     "largest_questions": f"select distinct id, {_SIZE} size from question order by size desc, id desc limit 10",
