@@ -98,17 +98,17 @@ def spawn(solved: DataFrame, slots: DataFrame, variants: DataFrame, number: int,
     return rows.groupBy("question_id").applyInPandas(grow, VARIANT)
 
 
-def anchor_search(graph: Graph, q: Questions, config: RetrievalConfig = RetrievalConfig(), rounds: int = 16) -> tuple[DataFrame, DataFrame]:
+def anchor_search(graph: Graph, q: Questions, config: RetrievalConfig = RetrievalConfig()) -> tuple[DataFrame, DataFrame]:
     """(variants, locked): all variants, and locked(question_id, var_id, rel_id, sim).
 
-    A question ends when it has no new variants or too many.
+    A question ends when it has no new variants; what would go beyond config.max_lineage_variants is not spawned.
     """
     spark = q.subq.sparkSession
-    found = q.start.join(q.slots.where("not virtual").select("question_id", "slot_key").distinct(), "question_id").select("question_id", "slot_key", "ent_id")
+    found = q.found if q.found is not None else q.start.join(q.slots.where("not virtual").select("question_id", "slot_key").distinct(), "question_id").select("question_id", "slot_key", "ent_id")
     variants, anchors = root_variants(graph, q.slots, found)
     locked = spark.createDataFrame([], "question_id bigint, var_id int, rel_id bigint, sim double")
     own = found.select("question_id", "slot_key", "ent_id")
-    for number in range(1, rounds + 1):
+    for number in itertools.count(1):
         queue = variants.where(F.col("born") == number - 1)
         if queue.isEmpty():
             break
@@ -117,7 +117,7 @@ def anchor_search(graph: Graph, q: Questions, config: RetrievalConfig = Retrieva
         sets = cut(sets)
         members = sets.join(queue.select("question_id", "var_id", "ancestors"), ["question_id", "var_id"])
         contest = members.select("question_id", "grp", F.explode(F.concat(F.array("var_id"), "ancestors")).alias("var_id")).distinct().join(variants.select("question_id", "var_id", "qid"), ["question_id", "var_id"])
-        reach = sets.where("var_id = grp").select("question_id", "grp", F.explode("anchors").alias("ent_id")).join(graph.incidence.select("ent_id", "rel_id"), "ent_id").select("question_id", "grp", "rel_id").distinct()
+        reach = G.relations_of(graph.incidence, sets.where("var_id = grp").select("question_id", "grp", F.explode("anchors").alias("ent_id")), graph.hubs)
         free = reach.join(locked.select("question_id", "rel_id").distinct(), ["question_id", "rel_id"], "left_anti")
         pairs = free.join(contest, ["question_id", "grp"]).join(q.subq, ["question_id", "qid"]).join(graph.relation.select("rel_id", F.col("vec").alias("rvec")), "rel_id").join(q.lexical, ["question_id", "qid", "rel_id"], "left")
         scored = pairs.select("question_id", "grp", "rel_id", "var_id", (T.dot(F.col("vec"), F.col("rvec")) + config.hybrid_boost * F.coalesce("score", F.lit(0.0))).alias("score")).where(F.col("score") >= config.match_threshold)

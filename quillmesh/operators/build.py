@@ -95,3 +95,20 @@ def extraction_prompt(title: Column, text: Column, candidates: Column) -> Column
     head = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit('Title: "'), title, F.lit('"\n'))).otherwise("")
     tail = F.when(F.coalesce(F.size(candidates), F.lit(0)) > 0, F.concat(F.lit("\nCandidates: "), F.to_json(candidates))).otherwise("")
     return F.concat(head, F.lit('Text: "'), F.coalesce(text, F.lit("")), F.lit('"'), tail)
+
+
+def event_count(raw: Column) -> Column:
+    """Events in an extracting model's answer; null if it cannot be read."""
+    text = T.strip_wrappers(raw)
+    parsed = F.try_parse_json(F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), text))
+    return F.size(F.try_variant_get(parsed, "$.events", "array<variant>"))
+
+
+def refine_prompt(title: Column, text: Column, names: Column) -> Column:
+    """What the refining model is sent: the extraction prompt with the recognised names as candidates."""
+    return extraction_prompt(title, text, names)
+
+
+def decouple_prompt(text: Column, records: Column) -> Column:
+    """What the decoupling model is sent: the text and the refined entities, as JSON."""
+    return F.concat(F.lit('Text: "'), F.coalesce(text, F.lit("")), F.lit('"\nEntities: '), F.coalesce(F.to_json(records), F.lit("[]")))

@@ -7,7 +7,7 @@ slots, active questions. A round reads only what earlier rounds wrote.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,18 +30,22 @@ class Graph:
     entity: DataFrame
     incidence: DataFrame
     synonym: DataFrame
+    #: Entities with many relations, whose incidence is spread over several tasks.
+    hubs: list = field(default_factory=list)
 
 
 @dataclass
 class Questions:
     """subq(question_id, qid, vec), slots(question_id, qid, slot_key, virtual, attribute, vec), start(question_id, ent_id)
-    found for the real slots, lexical(question_id, qid, rel_id, score) normalised, seeds(question_id, rel_id)."""
+    found for the real slots, lexical(question_id, qid, rel_id, score) normalised, seeds(question_id, rel_id),
+    found(question_id, slot_key, ent_id) by real slot; without it every real slot has all of `start`."""
 
     subq: DataFrame
     slots: DataFrame
     start: DataFrame
     lexical: DataFrame
     seeds: DataFrame
+    found: DataFrame | None = None
 
 
 @dataclass
@@ -109,7 +113,7 @@ def _reach(graph: Graph, state: State, active: DataFrame) -> DataFrame:
 
 
 def _candidates(graph: Graph, state: State, active: DataFrame) -> DataFrame:
-    mine = state.visited.join(active, "question_id").join(graph.incidence.select("rel_id", "ent_id"), "ent_id").select("question_id", "rel_id").distinct()
+    mine = G.relations_of(graph.incidence, state.visited.join(active, "question_id"), graph.hubs)
     return cut(mine.join(state.solutions.select("question_id", "rel_id"), ["question_id", "rel_id"], "left_anti"))
 
 

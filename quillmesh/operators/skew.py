@@ -21,6 +21,25 @@ def salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], salts: int =
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
+def hot_keys(df: DataFrame, key: str) -> list:
+    """Keys with more than a quarter of what a task would have if rows were spread evenly; at most four a task."""
+    counts = cut(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r[0] for r in counts.where(F.col("n") > total / (4 * parallelism(df.sparkSession))).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, other: DataFrame, key: str, hot: list, salts: int = 8) -> DataFrame:
+    """Inner join of which the rows of the given hot keys spread over `salts` tasks; only the other side's rows of these
+    keys are repeated. Null keys match nothing."""
+    if not hot:
+        return rows.join(other, key)
+    rest = [c for c in rows.columns if c != key] or rows.columns
+    is_hot = F.col(key).isin(hot)
+    salted = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*rest), F.lit(salts))).otherwise(0).cast("int"))
+    copies = other.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, [key, "__salt"]).drop("__salt")
+
+
 def range_rank(df: DataFrame, order: list[Column], rank: str = "rank", partitions: int | None = None) -> DataFrame:
     """Numbers all rows 1..n in the given total order without a single-task window.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.config import RetrievalConfig
-from quillmesh.operators.retrieval import adjacent_gap
+from quillmesh.operators.retrieval import adjacent_gap, top_k
 from quillmesh.session import cut
 
 
@@ -96,16 +96,17 @@ def variant_paths(variants: DataFrame, edges: DataFrame, config: RetrievalConfig
     return numbered.where(F.col("path_id") < config.max_paths).select("question_id", "path_id", "steps")
 
 
-def score_paths(paths: DataFrame, found: DataFrame, n_subq: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> tuple[DataFrame, DataFrame]:
+def score_paths(paths: DataFrame, found: DataFrame, n_subq: DataFrame, config: RetrievalConfig = RetrievalConfig(), rule=adjacent_gap) -> tuple[DataFrame, DataFrame]:
     """(scores, segments) of paths from variant_solutions.
 
     scores(question_id, path_id, score): the sum, over the steps, of the mean similarity of the tightly chosen solutions,
     by the number of sub-questions; paths without any solution drop out. segments(question_id, path_id, place,
-    variant_id, rel_id, sim, rn) are the widely chosen solutions of each step.
+    variant_id, rel_id, sim, rn) are the widely chosen solutions of each step. `rule` chooses: adjacent_gap for variants,
+    top1_gap for lineages.
     """
     by = ["question_id", "variant_id"]
-    tight = adjacent_gap(found, by, "sim", "rel_id", *config.tight).groupBy(*by).agg(F.avg("sim").alias("mean"))
-    wide = adjacent_gap(found, by, "sim", "rel_id", *config.wide)
+    tight = rule(found, by, "sim", "rel_id", *config.tight).groupBy(*by).agg(F.avg("sim").alias("mean"))
+    wide = rule(found, by, "sim", "rel_id", *config.wide)
     steps = paths.select("question_id", "path_id", F.posexplode("steps").alias("place", "variant_id"))
     sums = steps.join(tight, by).groupBy("question_id", "path_id").agg(F.sum("mean").alias("total"))
     scores = sums.join(n_subq, "question_id").select("question_id", "path_id", (F.col("total") / F.col("n")).alias("score"))
@@ -114,12 +115,12 @@ def score_paths(paths: DataFrame, found: DataFrame, n_subq: DataFrame, config: R
 
 
 def path_context(kept: DataFrame, segments: DataFrame, texts: DataFrame) -> DataFrame:
-    """(question_id, context): a paragraph a path in order of `place`, a line a relation, each once a path; paths are
-    set apart by an empty line. kept(question_id, path_id, place)."""
+    """(question_id, context): a paragraph a path in order of `place`, in it the texts of its relations, each once a path;
+    paragraphs are set apart by an empty line. kept(question_id, path_id, place)."""
     rows = segments.withColumnRenamed("place", "step").join(kept.select("question_id", "path_id", "place"), ["question_id", "path_id"]).join(texts, "rel_id")
     first = rows.groupBy("question_id", "path_id", "place", "rel_id").agg(F.min(F.struct("step", "rn", "text")).alias("f"))
     lines = first.groupBy("question_id", "path_id", "place").agg(F.array_sort(F.collect_list(F.struct("f.step", "f.rn", "rel_id", "f.text"))).alias("l"))
-    para = lines.select("question_id", "place", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("paragraph"))
+    para = lines.select("question_id", "place", F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("paragraph"))
     return para.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "paragraph"))), lambda x: x["paragraph"]), "\n\n").alias("context"))
 
 
@@ -129,3 +130,21 @@ def chunk_votes(segments: DataFrame, source: DataFrame, keep: int = 5) -> DataFr
     rows = segments.join(source, "rel_id").groupBy("question_id", "title", "chunk").agg(F.countDistinct("rel_id").alias("votes"), F.min(F.struct("path_id", "place")).alias("first"))
     w = Window.partitionBy("question_id").orderBy("first", F.desc("votes"), "title", "chunk")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).drop("first")
+
+
+def chunk_context(votes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(question_id, context): the texts of the passages that chunk_votes kept, in its order, equal texts once.
+    texts(chunk, text)."""
+    rows = votes.join(texts, "chunk").where("text <> ''").groupBy("question_id", "text").agg(F.min("rank").alias("rank"))
+    return rows.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n").alias("context"))
+
+
+#: Fixed value: what heads a context of solutions that lie on no path.
+SUPPLEMENT = "[Supplementary evidence (no valid reasoning path found)]"
+
+
+def supplementary_context(solutions: DataFrame, texts: DataFrame, k: int = 20) -> DataFrame:
+    """(question_id, context): the k most similar solutions of a question, a line each, under a heading."""
+    best = top_k(solutions.groupBy("question_id", "rel_id").agg(F.max("sim").alias("sim")), ["question_id"], [F.desc("sim"), F.desc("rel_id")], k).join(texts, "rel_id")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n")
+    return best.groupBy("question_id").agg(F.concat(F.lit(SUPPLEMENT + "\n"), lines).alias("context"))

@@ -10,127 +10,116 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh import programs as P
 from quillmesh.config import RetrievalConfig
 from quillmesh.functions import text as T
 from quillmesh.operators import anchors as A
-from quillmesh.operators import graph as G
 from quillmesh.operators import retrieval as R
 from quillmesh.operators import search as S
 from quillmesh.operators import variants as V
 from quillmesh.plans.graphs import synonyms
-from quillmesh.plans.retrieval import asked, entity_docs, fact_docs
+from quillmesh.plans.retrieval import asked
 from quillmesh.session import cut
 from quillmesh.sources.tables import table
 
 #: The vectors stand in for a text encoder and are less alike than its vectors, so an entity matches from 0.3 on.
 CONFIG = RetrievalConfig(match_threshold=0.3)
 DIM = 64
+_KEPT: dict[tuple[str, str], tuple[P.Store, P.Asked, P.Prepared]] = {}
 
 
 def _mean_vector(vec: str) -> Column:
     return F.array(*(F.avg(F.col(vec)[i].cast("double")) for i in range(DIM)))
 
 
-def graph(spark: SparkSession, d: str) -> S.Graph:
+def store(spark: SparkSession, d: str) -> P.Store:
     e = table(spark, d, "entity").dropDuplicates(["ent_id"])
-    unit = e.where(R._usable(F.col("embedding"), DIM) & R._usable(F.col("name_embedding"), DIM))
+    usable = e.where(R._usable(F.col("embedding"), DIM) & R._usable(F.col("name_embedding"), DIM))
     norm = lambda c: F.transform(F.col(c), lambda x: x / F.sqrt(T.dot(F.col(c), F.col(c))))
-    ent = cut(unit.select("ent_id", norm("embedding").alias("vec"), norm("name_embedding").alias("name_vec"), "attribute"))
-    inc = table(spark, d, "incidence").select("rel_id", "ent_id", F.coalesce("is_title_edge", F.lit(False)).alias("is_title_edge"))
-    rel = inc.select("rel_id", "ent_id").join(ent.select("ent_id", "vec"), "ent_id").groupBy("rel_id").agg(_mean_vector("vec").alias("m"))
-    rel = cut(rel.select("rel_id", F.transform("m", lambda x: x / F.greatest(F.sqrt(T.dot(F.col("m"), F.col("m"))), F.lit(1e-8))).alias("vec")))
-    return S.Graph(rel, ent, inc, cut(synonyms(spark, d)))
-
-
-def questions(spark: SparkSession, d: str) -> S.Questions:
-    docs, q = entity_docs(spark, d), asked(spark, d)
-    start = cut(R.composed_retrieve(docs, q).select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("ent_id")))
-    vec = q.select(F.col("query_id").alias("question_id"), F.col("vec").cast("array<double>").alias("vec"), "text")
-    subq = vec.select("question_id", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("qid"), "vec")
-    kinds = [(0, 0, "main", False, ""), (0, 1, "person x", True, "person"), (1, 0, "person x", True, "person"), (1, 1, "place y", True, "place")]
-    shape = spark.createDataFrame(kinds, "qid bigint, slot int, slot_key string, virtual boolean, attribute string")
-    slots = vec.select("question_id", "vec").join(F.broadcast(shape), how="cross")
-    bm = R.normalized_scores(R.bm25_scores(fact_docs(spark, d), q.select("query_id", "text")))
-    bm = cut(bm.withColumn("score", F.round("score", 9)))
-    top = cut(R.top_k(bm, ["query_id"], [F.desc("score"), F.col("doc_id")], CONFIG.seed_top))
-    lexical = bm.select(F.col("query_id").alias("question_id"), F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("qid"), F.col("doc_id").alias("rel_id"), "score")
-    seeds = top.select(F.col("query_id").alias("question_id"), F.col("doc_id").alias("rel_id"))
-    return S.Questions(subq, slots, start, lexical, seeds)
+    ent = cut(usable.select("ent_id", "display", T.entity_index_text(F.col("display"), F.col("definition")).alias("text"), norm("embedding").alias("vec"), norm("name_embedding").alias("name_vec"), "attribute"))
+    inc = cut(table(spark, d, "incidence").select("rel_id", "ent_id", F.coalesce("is_title_edge", F.lit(False)).alias("is_title_edge")))
+    mean = inc.select("rel_id", "ent_id").join(ent.select("ent_id", "vec"), "ent_id").groupBy("rel_id").agg(_mean_vector("vec").alias("m"))
+    unit = mean.select("rel_id", F.transform("m", lambda x: x / F.greatest(F.sqrt(T.dot(F.col("m"), F.col("m"))), F.lit(1e-8))).alias("vec"))
+    t, r = F.col("source_title"), F.col("relation")
+    rel = table(spark, d, "fact").select("rel_id", T.relation_text(t, r).alias("text"), T.relation_index_text(t, r).alias("index_text"), "source_title", "chunk_id")
+    return P.Store(ent, cut(rel.join(unit, "rel_id")), inc, cut(synonyms(spark, d)))
+
+
+def questions(spark: SparkSession, d: str) -> P.Asked:
+    q = cut(asked(spark, d).select(F.col("query_id").alias("question_id"), F.col("vec").cast("array<double>").alias("vec"), "text"))
+    subq = q.select("question_id", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("qid"), "text", "vec")
+    slot = lambda qid, n, name, attribute: F.struct(F.lit(qid).cast("bigint").alias("qid"), F.lit(n).alias("slot"), F.lit(name).alias("name"), F.lit(attribute).alias("attribute"))
+    unknown = q.select("question_id", "vec", F.explode(F.array(slot(0, 1, "x", "person"), slot(1, 0, "x", "person"), slot(1, 1, "y", "place"))).alias("s"))
+    virtual = unknown.select("question_id", "vec", "s.*", F.lit(True).alias("virtual"), F.concat_ws(" ", "s.attribute", "s.name").alias("slot_key"), F.concat_ws(" ", "s.attribute", "s.name").alias("embed_text"))
+    real = q.select("question_id", "vec", F.lit(0).cast("bigint").alias("qid"), F.lit(0).alias("slot"), F.col("text").alias("name"), F.lit("").alias("attribute"), F.lit(False).alias("virtual"), F.col("text").alias("slot_key"), F.col("text").alias("embed_text"))
+    return P.Asked(q, subq, cut(real.unionByName(virtual)))
+
+
+def prepared(spark: SparkSession, d: str) -> tuple[P.Store, P.Asked, P.Prepared]:
+    """Store, questions and what the engines need of them; made once a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _KEPT:
+        _KEPT.clear()
+        s, q = store(spark, d), questions(spark, d)
+        _KEPT[key] = s, q, P.prepare(s, q, CONFIG)
+    return _KEPT[key]
 
 
 def search_rounds(spark: SparkSession, d: str) -> DataFrame:
-    state = S.iterative_search(graph(spark, d), questions(spark, d), CONFIG)
+    _, _, p = prepared(spark, d)
+    state = S.iterative_search(p.graph, p.questions, CONFIG)
     return state.solutions.select("question_id", "qid", "rel_id", F.round("sim", 6).alias("sim"), "round")
 
 
-def _variants(spark: SparkSession, d: str):
-    g, q = graph(spark, d), questions(spark, d)
-    state = S.iterative_search(g, q, CONFIG)
-    bindings = state.bindings.join(state.similar, ["question_id", "slot_key", "ent_id"])
-    found = q.start.select("question_id", F.lit("main").alias("slot_key"), "ent_id")
-    variants = cut(V.build_variants(q.slots, bindings, found, CONFIG))
-    return g, q, state, variants
-
-
 def variant_table(spark: SparkSession, d: str) -> DataFrame:
-    _, _, _, v = _variants(spark, d)
+    _, _, p = prepared(spark, d)
+    _, v, _, _ = P.solve(p, CONFIG)
     return v.select("question_id", "variant_id", "qid", F.array_join(F.transform("combo", lambda c: F.concat_ws("=", c["slot_key"], c["ent_id"].cast("string"))), ",").alias("combo"), F.size("bound").alias("n_bound"))
 
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:
     """The context of every question: paths of variants, scored, the best of each chain first, as text."""
-    g, q, state, v = _variants(spark, d)
-    found = cut(V.variant_solutions(v, state.solutions.select("question_id", "qid", "rel_id", "sim"), g.incidence))
-    paths = cut(V.variant_paths(v, cut(V.variant_edges(v)), CONFIG))
-    n = q.subq.groupBy("question_id").agg(F.countDistinct("qid").alias("n"))
-    scores, segments = V.score_paths(paths, found, n, CONFIG)
-    ranked = scores.select(F.col("question_id").alias("query_id"), "path_id", F.lit(0).alias("chain"), "score")
-    kept = R.best_per_chain(ranked, CONFIG.top_paths).withColumnRenamed("query_id", "question_id")
-    texts = fact_texts(spark, d)
-    context = V.path_context(kept, segments, texts)
-    flagged = q.subq.select("question_id").distinct().join(q.start.select("question_id", F.lit(True).alias("found")), "question_id", "left").join(context, "question_id", "left")
-    reason = F.when(F.col("found").isNull(), "no_ke1").when(F.coalesce("context", F.lit("")) == "", "yes_empty").otherwise("no")
-    return flagged.select("question_id", F.coalesce("context", F.lit("")).alias("context"), reason.alias("fallback"))
-
-
-def fact_texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "fact").select("rel_id", T.relation_text(F.col("source_title"), F.col("relation")).alias("text"))
+    s, q, p = prepared(spark, d)
+    return P.retrieve(s, q, CONFIG, "iterative", prepared=p)
 
 
 def chunk_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Source passages of every question by the votes of its relations."""
-    g, q, state, v = _variants(spark, d)
-    found = cut(V.variant_solutions(v, state.solutions.select("question_id", "qid", "rel_id", "sim"), g.incidence))
-    paths = cut(V.variant_paths(v, cut(V.variant_edges(v)), CONFIG))
-    _, segments = V.score_paths(paths, found, q.subq.groupBy("question_id").agg(F.countDistinct("qid").alias("n")), CONFIG)
-    source = table(spark, d, "fact").select("rel_id", F.coalesce("source_title", F.lit("")).alias("title"), F.col("chunk_id").alias("chunk")).where("chunk is not null")
-    return V.chunk_votes(segments, source)
+    s, q, p = prepared(spark, d)
+    chunks = table(spark, d, "chunk").select(F.col("chunk_id").alias("chunk"), "text")
+    return P.retrieve(s, q, CONFIG, "iterative", "chunk", p, chunks)
 
 
 def anchor_search(spark: SparkSession, d: str) -> DataFrame:
     """What the anchor-driven engine locks for each question."""
-    _, locked = A.anchor_search(graph(spark, d), questions(spark, d), CONFIG)
+    _, _, p = prepared(spark, d)
+    _, locked = A.anchor_search(p.graph, p.questions, CONFIG)
     return locked.select("question_id", "var_id", "rel_id", F.round("sim", 6).alias("sim"))
 
 
 def anchor_contexts(spark: SparkSession, d: str) -> DataFrame:
-    g, q = graph(spark, d), questions(spark, d)
-    variants, locked = A.anchor_search(g, q, CONFIG)
-    n = q.subq.groupBy("question_id").agg(F.countDistinct("qid").alias("n"))
-    paths = A.lineage_paths(variants, locked)
-    scores, segments = V.score_paths(paths, locked.withColumn("variant_id", F.col("var_id")), n, CONFIG)
-    kept = R.best_per_chain(scores.select(F.col("question_id").alias("query_id"), "path_id", F.lit(0).alias("chain"), "score"), CONFIG.top_paths).withColumnRenamed("query_id", "question_id")
-    return V.path_context(kept, segments, fact_texts(spark, d))
+    s, q, p = prepared(spark, d)
+    return P.retrieve(s, q, CONFIG, "anchored", prepared=p)
 
 
 def pagerank_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Text of the best relations by personalised PageRank from all questions' anchors together."""
-    anchors = R.anchors_above(R.dense_top_k(entity_docs(spark, d), asked(spark, d), 5, ("vec", "name_vec")), 5, CONFIG.pagerank_floor)
-    seeds = anchors.select(F.col("doc_id").alias("vertex"), F.greatest("sim", F.lit(1e-3)).alias("weight"))
-    score = G.pagerank(G.weighted_edges(table(spark, d, "incidence"), synonyms(spark, d)), seeds, CONFIG.pagerank_alpha)
-    best = score.where("vertex < 0").select((-1 - F.col("vertex")).alias("rel_id"), F.round("score", 9).alias("score")).orderBy(F.desc("score"), "rel_id").limit(CONFIG.pagerank_top)
-    return best.join(fact_texts(spark, d), "rel_id")
+    """Text of the best relations of every question by personalised PageRank from its anchors."""
+    s, q, _ = prepared(spark, d)
+    return P.retrieve(s, q, CONFIG, "pagerank")
+
+
+def supplements(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar solutions of every question, for one that has no path."""
+    s, _, p = prepared(spark, d)
+    state = S.iterative_search(p.graph, p.questions, CONFIG)
+    return V.supplementary_context(state.solutions, s.relation.select("rel_id", "text"))
+
+
+def direct_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """What every question would get if it named nothing to start from: the relations most similar to it."""
+    s, q, _ = prepared(spark, d)
+    return P.direct_context(s, q.question)
 
 
-QUERIES = {f.__name__: f for f in (search_rounds, variant_table, contexts, chunk_contexts, anchor_search, anchor_contexts, pagerank_contexts)}
+QUERIES = {f.__name__: f for f in (search_rounds, variant_table, contexts, chunk_contexts, anchor_search, anchor_contexts, pagerank_contexts, supplements, direct_contexts)}
 SQL: dict[str, str] = {}
