@@ -12,6 +12,7 @@ from quillmesh.functions.fixed import FAILURE_CATEGORIES
 from quillmesh.operators import evaluation as E
 from quillmesh.operators import skeleton as S
 from quillmesh.plans.graphs import _SYN, synonyms
+from quillmesh.plans import scalars
 from quillmesh.plans.scalars import NORM, STRIP
 from quillmesh.session import ensure_checkpoint_dir
 from quillmesh.sources import files
@@ -129,6 +130,8 @@ SQL = {
     "judge_means": "with p as (select distinct on (pair_id) similarity from synonym_pair) select count(*) n_questions, round(avg(similarity), 4) similarity_mean, count(similarity) n_similarity from p",
     "probe_confusion": f"with {_SYN}, e as (select distinct on (ent_id) ent_id, attribute from entity), r as (select coalesce(similarity, -1) >= 0.9e0 said, x.attribute is not distinct from y.attribute same from syn join e x on x.ent_id = a join e y on y.ent_id = b), c as (select count(*) filter (where said and same) tp, count(*) filter (where not said and same) fn, count(*) filter (where said and not same) fp, count(*) filter (where not said and not same) tn from r) select *, round(tp::double / (tp + fn), 4) recall, round(fp::double / (fp + tn), 4) false_merge, round(tp::double / (tp + fp), 4) as precision, round(2e0 * tp / (2 * tp + fp + fn), 4) f1 from c",
     "report_grid": "with s as (select n_name method, c_mktsegment dataset, avg(c_acctbal) em from customer join nation on c_nationkey = n_nationkey group by 1, 2) select n_name method, " + ", ".join(f"coalesce(printf('%.1f', max(em) filter (where dataset = '{s}')), '--') \"{s}_em\"" for s in SEGMENTS) + ", coalesce(printf('%.1f', avg(em)), '--') avg_em from nation left join s on method = n_name group by 1",
+    "extraction_report": f"""with t as ({scalars.SQL['table_heuristic']}), n as (select chunk_id, count(*) n from fact group by 1)
+        select chunk_id, case status when 'retry_ok' then '[RETRY] ' when 'empty' then '[EMPTY] ' when 'failed' then '[FAILED] ' else '' end || case when is_table then '[TABLE] ' else '' end || coalesce(title, '') || ': ' || coalesce(n, 0) || ' events' line from chunk join t using (chunk_id) left join n using (chunk_id)""",
     "resume_grid": "select n.n_nationkey, r_regionkey n_regionkey from nation n, region where not exists (select 1 from nation m where m.n_nationkey = n.n_nationkey and m.n_regionkey = r_regionkey)",
     "latest_mentions": "select mention_id, typed_by, received_at from mention qualify row_number() over (partition by mention_id order by received_at desc nulls last, typed_by desc nulls last) = 1",
     "prompts": "select distinct id, ('Context:\nx\n\nQuestion: ' || coalesce(question, '') || '\n\nGive the answer only.\nAnswer:') prompt from question",

@@ -155,6 +155,12 @@ SQL = {
         f as (select mention_id, (p = g)::int em, round(case when len(ps) = 0 or len(gs) = 0 then (len(ps) = len(gs))::int::double else 2e0 * shared / (len(ps) + len(gs)) end, 6) f1 from s)
         select *, case when em = 1 then 'ok' when f1 > 0.3e0 then 'partial' else 'wrong' end mark from f""",
     "answer_extraction": "select distinct id, coalesce(trim(answer, ' \t\r\n\"''`'), '') lined, coalesce(trim(answer, ' \t\r\n\"''`'), '') bare, case when answer is null then '' when trim(answer, ' \t\r\n') = '' then 'Hope this helps' else trim(answer, ' \t\r\n\"''`') end below, coalesce(left(case when answer is null then '' else trim(question) end, 300), '') reasoning from question",
+    "chunk_passages": f"""with recursive q as (select distinct on (id) id, context from question order by id), p as (select id, generate_subscripts(context, 1) - 1 passage_no, unnest(context) par from q),
+        n as (select id, passage_no, par.title title, list_transform(par.sentences, lambda x: coalesce(x, '')) ss from p where len(par.sentences) > 0),
+        rec as (select id, passage_no, title, ss, len(ss) <= 8 and list_sum(list_transform(ss, lambda x: length(x))) <= 800 small, 1 i, 1 cnt, length(ss[1]) chars, 0 c from n
+            union all select id, passage_no, title, ss, small, i + 1, case when brim then 1 else cnt + 1 end, case when brim then 0 else chars end + length(ss[i + 1]), c + brim::int from (select *, not small and (cnt >= 5 or chars >= 800) brim from rec) r where i < len(ss)),
+        t as (select id, passage_no, title, c, {STRIP.format("string_agg(ss[i], ' ' order by i)")} as text from rec group by 1, 2, 3, 4), k as (select *, row_number() over (partition by id, passage_no order by c) - 1 chunk_no from t where text <> '')
+        select distinct on (text) title, text, id, passage_no, chunk_no from k order by text, id, passage_no, chunk_no""",
     "status_counts": f"select s status, count(chunk_id) n from (select unnest([{', '.join(repr(s) for s in STATUSES)}]) s) k left join chunk on status = s group by s",
     "question_sizes": f"select distinct id, {_SIZE} size from question",
     "largest_questions": f"select distinct id, {_SIZE} size from question order by size desc, id desc limit 10",

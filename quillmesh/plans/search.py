@@ -18,14 +18,15 @@ from quillmesh.operators import retrieval as R
 from quillmesh.operators import search as S
 from quillmesh.operators import variants as V
 from quillmesh.plans.graphs import synonyms
-from quillmesh.plans.retrieval import asked
+from quillmesh.plans.retrieval import _ASKED, _cos, _ok, asked
 from quillmesh.session import cut
 from quillmesh.sources.tables import table
 
 #: The vectors stand in for a text encoder and are less alike than its vectors, so an entity matches from 0.3 on.
 CONFIG = RetrievalConfig(match_threshold=0.3)
 DIM = 64
-_KEPT: dict[tuple[str, str], tuple[P.Store, P.Asked, P.Prepared]] = {}
+_TABLES: dict[tuple[str, str], tuple[P.Store, P.Asked]] = {}
+_KEPT: dict[tuple[str, str], P.Prepared] = {}
 
 
 def _mean_vector(vec: str) -> Column:
@@ -55,14 +56,23 @@ def questions(spark: SparkSession, d: str) -> P.Asked:
     return P.Asked(q, subq, cut(real.unionByName(virtual)))
 
 
+def tables(spark: SparkSession, d: str) -> tuple[P.Store, P.Asked]:
+    """Store and questions; made once a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = store(spark, d), questions(spark, d)
+    return _TABLES[key]
+
+
 def prepared(spark: SparkSession, d: str) -> tuple[P.Store, P.Asked, P.Prepared]:
     """Store, questions and what the engines need of them; made once a session and folder."""
+    s, q = tables(spark, d)
     key = (spark.sparkContext.applicationId, d)
     if key not in _KEPT:
         _KEPT.clear()
-        s, q = store(spark, d), questions(spark, d)
-        _KEPT[key] = s, q, P.prepare(s, q, CONFIG)
-    return _KEPT[key]
+        _KEPT[key] = P.prepare(s, q, CONFIG)
+    return s, q, _KEPT[key]
 
 
 def search_rounds(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +114,7 @@ def anchor_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 def pagerank_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Text of the best relations of every question by personalised PageRank from its anchors."""
-    s, q, _ = prepared(spark, d)
+    s, q = tables(spark, d)
     return P.retrieve(s, q, CONFIG, "pagerank")
 
 
@@ -117,9 +127,17 @@ def supplements(spark: SparkSession, d: str) -> DataFrame:
 
 def direct_contexts(spark: SparkSession, d: str) -> DataFrame:
     """What every question would get if it named nothing to start from: the relations most similar to it."""
-    s, q, _ = prepared(spark, d)
+    s, q = tables(spark, d)
     return P.direct_context(s, q.question)
 
 
 QUERIES = {f.__name__: f for f in (search_rounds, variant_table, contexts, chunk_contexts, anchor_search, anchor_contexts, pagerank_contexts, supplements, direct_contexts)}
-SQL: dict[str, str] = {}
+
+#: The engines are checked against plain versions in tests; what SQL can state is stated.
+SQL: dict[str, str] = {
+    "direct_contexts": f"""with {_ASKED}, e as (select distinct on (ent_id) ent_id, embedding::double[] v from entity where {_ok('embedding')} and {_ok('name_embedding')} order by ent_id), u as (select ent_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v from e),
+        parts as (select rel_id, unnest(v) x, generate_subscripts(v, 1) i from incidence join u using (ent_id)), m as (select rel_id, i, avg(x) x from parts group by 1, 2), r as (select rel_id, list(x order by i) v from m group by 1),
+        f as (select rel_id, v, case when coalesce(source_title, '') <> '' then '(' || source_title || ') ' || relation else relation end as text from r join fact using (rel_id)), ok as (select * from f where list_bool_or(list_transform(v, lambda x: x <> 0))),
+        s as (select query_id question_id, text, row_number() over (partition by query_id order by round({_cos('a.vec', 'f.v')}, 9) desc, rel_id) rank from (select query_id, vec from asked) a, ok f qualify rank <= 20)
+        select question_id, string_agg(text, chr(10) || chr(10) order by rank) context from s group by 1""",
+}
