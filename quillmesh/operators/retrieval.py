@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: A query set beyond this many vectors is scored in several passes over the corpus.
 QUERY_BLOCK = 4_096
+#: Terms of queries, with their weights, that are broadcast at most (some 60 bytes each).
+BROADCAST_ROWS = 200_000
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -27,19 +30,24 @@ def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     repeats counts as often. Statistics cover all documents, with null texts as empty ones. Term rows are narrow: per
     document and term a count, and only for the queries' terms; those of the whole vocabulary are reduced to counts.
     """
-    terms = docs.select("doc_id", T.bm25_tokens(F.col("text")).alias("terms"))
-    counted = terms.select("doc_id", F.size("terms").alias("length"), "terms")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    df = counted.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(stats.select("n")), how="cross").select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select("query_id", F.explode(T.bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = asked.select("term").distinct()
-    # one-row tables are broadcast
-    weights = idf.join(wanted, "term").join(F.broadcast(mean), how="cross").select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    postings = counted.select("doc_id", "length", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    hits = asked.join(weights, "term").join(postings, "term").join(F.broadcast(stats.select("avgdl")), how="cross")
-    gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
+    counted = docs.select("doc_id", T.bm25_tokens(F.col("text")).alias("terms")).select("doc_id", F.size("terms").alias("length"), "terms")
+    # one pass for the vocabulary: a document's length comes along under the empty term
+    row = lambda term, length: F.struct(term.alias("term"), length.alias("length"))
+    marks = F.concat(F.array(row(F.lit(""), F.col("length"))), F.transform(F.array_distinct("terms"), lambda t: row(t, F.lit(0))))
+    vocabulary = cut(counted.select(F.explode(marks).alias("m")).groupBy("m.term").agg(F.count("*").alias("df"), F.sum("m.length").alias("length")))
+    whole = vocabulary.where("term = ''").first()
+    asked = cut(queries.select("query_id", F.explode(T.bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
+    n, average = (whole["df"], whole["length"] / whole["df"]) if whole else (0, 0.0)
+    idf = vocabulary.where("term <> ''").select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = idf.agg(F.avg("idf")).first()[0]
+    weights = asked.join(idf, "term").select("query_id", "term", "times", F.when(F.col("idf") < 0, EPSILON * F.lit(mean)).otherwise(F.col("idf")).alias("idf"))
+    weights = cut(weights)
+    # as a rule queries are few: their terms go to the documents, so that a common word is nobody's hot key
+    few = weights.count() <= BROADCAST_ROWS
+    wanted = weights.select("term").distinct()
+    postings = counted.select("doc_id", "length", F.explode("terms").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    hits = postings.join(F.broadcast(weights) if few else weights, "term")
+    gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average or 1.0)))
     return hits.select("query_id", "doc_id", gain.alias("g")).groupBy("query_id", "doc_id").agg(F.sum("g").alias("score"))
 
 
@@ -220,50 +228,37 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.withColumn("digest", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))).orderBy("digest", key).limit(n)
 
 
-def similar_pairs(docs: DataFrame, least: float, vectors: tuple[str, ...] = ("vec", "name_vec")) -> DataFrame:
+def similar_pairs(docs: DataFrame, least: float, vectors: tuple[str, ...] = ("vec", "name_vec"), block: int = 2_048) -> DataFrame:
     """(a, b, similarity), a < b, of all pairs whose mean cosine is at least `least`; exact, rounded to four places.
 
-    Every row is a query against all rows, QUERY_BLOCK queries at a time: no shuffle and nothing but links leaves a task,
-    but the work is quadratic. For millions of vectors an approximate search is the better choice.
+    Rows are hashed into blocks, and every two blocks meet in a task as two matrices; nothing but links leaves it, and
+    nothing goes through the driver. The work is quadratic, as is a row's number of copies in the number of blocks: for
+    millions of vectors an approximate search is the better choice. Vectors of different length are not compared.
     """
     usable = docs
     for v in vectors:
         usable = usable.where(_usable(F.col(v), None))
     usable = usable.select("doc_id", *vectors).dropDuplicates(["doc_id"])
-    found = None
-
-    def against(rows: list) -> DataFrame:
-        ids = np.array([r[0] for r in rows])
-        sides = [[np.asarray(r[1 + i], np.float64) for r in rows] for i in range(len(vectors))]
-        dims = [len(s[0]) for s in sides]
-        matrices = [np.stack([v / np.linalg.norm(v) if len(v) == d else np.zeros(d) for v in s]) for s, d in zip(sides, dims)]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                fits = np.ones(len(b), bool)
-                for v, d in zip(vectors, dims):
-                    fits &= b[v].map(len).to_numpy() == d
-                b = b[fits]
-                if not len(b):
-                    continue
-                sims = 0.0
-                for v, m in zip(vectors, matrices):
-                    x = np.stack(b[v].to_numpy()).astype(np.float64)
-                    sims = sims + m @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                sims = np.round(sims / len(vectors), 9)
-                doc = b["doc_id"].to_numpy()
-                r, c = np.nonzero((sims >= least) & (ids[:, None] < doc))
-                yield pd.DataFrame({"a": ids[r], "b": doc[c], "similarity": np.round(sims[r, c], 4)})
-
-        return usable.mapInPandas(run, "a bigint, b bigint, similarity double")
-
-    block: list = []
-    for r in usable.orderBy("doc_id").toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            part = against(block)
-            found, block = part if found is None else found.unionAll(part), []
-    if block:
-        part = against(block)
-        found = part if found is None else found.unionAll(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], "a bigint, b bigint, similarity double")
+    blocks = max(-(-usable.count() // block), 1)
+    own = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+    spread = usable.select("doc_id", *vectors, F.concat_ws(",", *(F.size(v).cast("string") for v in vectors)).alias("dims"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+
+    def meet(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        def side(rows: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+            units = [np.stack(rows[v].to_numpy()).astype(np.float64) for v in vectors]
+            return rows["doc_id"].to_numpy(), [x / np.linalg.norm(x, axis=1, keepdims=True) for x in units]
+
+        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "similarity": np.empty(0)})
+        one, two = g[g["own"] == key[1]], g[g["own"] == key[2]]
+        if not len(one) or not len(two):
+            return none
+        (ids, xs), (others, ys) = side(one), side(two)
+        sims = np.round(sum(x @ y.T for x, y in zip(xs, ys)) / len(vectors), 9)
+        r, c = np.nonzero(sims >= least)
+        a, b, s = ids[r], others[c], np.round(sims[r, c], 4)
+        if key[1] == key[2]:
+            a, b, s = a[a < b], b[a < b], s[a < b]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s})
+
+    return spread.groupBy("dims", "i", "j").applyInPandas(meet, "a bigint, b bigint, similarity double")

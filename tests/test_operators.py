@@ -209,3 +209,16 @@ def test_skew_helpers(spark):
         total += r.n
         assert r.cum == total
     assert skew.range_rank(hot.limit(0), [F.col("k")]).isEmpty() and skew.range_cumulate(counts.limit(0), ["k"], "n").isEmpty()
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_similar_pairs_against_all_pairs(spark, block):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6, 3))
+    rows = [(i, [float(x) for x in base[i % 6] + 0.1 * rng.standard_normal(3)], [float(x) for x in base[i % 6]]) for i in range(25)]
+    rows += [(30, None, [1.0] * 3), (31, [0.0] * 3, [1.0] * 3), (32, [1.0, 2.0], [1.0] * 3), (33, [1.0, 2.0], [1.0] * 3)]
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = {(i, j): round(round((cos(x, a) + cos(y, b)) / 2, 9), 4) for i, x, y in rows[:25] for j, a, b in rows[:25] if i < j and round((cos(x, a) + cos(y, b)) / 2, 9) >= 0.9} | {(32, 33): 1.0}
+    df = spark.createDataFrame(rows, "doc_id bigint, vec array<double>, name_vec array<double>")
+    assert {(r.a, r.b): r.similarity for r in R.similar_pairs(df, 0.9, block=block).collect()} == want
+    assert R.similar_pairs(df.limit(0), 0.9).isEmpty()
