@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 CELL_SIZE, MAX_CELLS, SAMPLE_PER_CELL, MAX_SAMPLE = 200, 16_384, 24, 131_072
 #: Vectors or queries of one cell that meet in one task at most.
 BLOCK = 4_096
+#: A block with more vectors than this is cut into cells of its own.
+SPLIT_SIZE = 5 * CELL_SIZE
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 2.4
 #: Bits of a query's dimension.
@@ -98,6 +100,27 @@ def _pack(bits: np.ndarray) -> np.ndarray:
     return np.packbits(np.pad(bits.astype(np.uint8), ((0, 0), (0, pad))), axis=1).view(np.uint64)
 
 
+def search_cells(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, centre: np.ndarray, rotation: np.ndarray, k: int, least: float, probes: int, margin: float) -> list[tuple]:
+    """As search_block; a block of more than SPLIT_SIZE vectors is cut into cells of its own first, and a query meets those
+    whose centre is nearly as close as the nearest. So the work of a vector does not grow with its cell."""
+    if len(ids) <= SPLIT_SIZE:
+        return search_block(ids, vectors, qids, queries, centre, rotation, k, least)
+    cells = len(ids) // CELL_SIZE
+    centres = fit_cells(vectors[:: max(len(ids) // (cells * SAMPLE_PER_CELL), 1)], cells)
+    home = (vectors @ centres.T).argmax(axis=1)
+    sims = queries @ centres.T
+    m = min(probes, cells)
+    near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+    close = np.take_along_axis(sims, near, axis=1)
+    sent = close >= close.max(axis=1, keepdims=True) - margin
+    out: list[tuple] = []
+    for c in np.unique(home):
+        mine, asks = home == c, ((near == c) & sent).any(axis=1)
+        if asks.any():
+            out.extend(search_block(ids[mine], vectors[mine], qids[asks], queries[asks], centres[c], rotation, k, least))
+    return out
+
+
 def search_block(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, centre: np.ndarray, rotation: np.ndarray, k: int, least: float) -> list[tuple]:
     """(query, id, cosine) of up to k vectors for each query, without the query itself; ties by id."""
     codes, out = Codes(vectors, centre, rotation), []
@@ -127,7 +150,7 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int, dim: int =
     Only usable vectors take part (see usable). A row that is delivered again is seen once, where it meets its twin in a
     cell; an id that has several vectors is searched with each of them and keeps its best. `queries` is a condition on `id` that
     names the queries (all, if none). A query goes to at most `probes` cells, those whose centre's similarity is less than
-    the best by at most `margin`; this alone can lose neighbours. least: pairs below this cosine are not reported. A cell
+    the best by at most `margin`, and inside a cell with many vectors to as many cells of its own; this alone can lose neighbours. least: pairs below this cosine are not reported. A cell
     of more than BLOCK vectors or queries is cut into blocks of both, so no task grows with a cell's share of the data.
     """
     spark = df.sparkSession
@@ -166,16 +189,20 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, k: int, dim: int =
     else:
         parts = F.lit("1,1")
     spread = spread.withColumn("nb", F.split(parts, ",")[0].cast("int")).withColumn("qb", F.split(parts, ",")[1].cast("int"))
+    # one row for each block that a vector is data or a query in; both at once in a cell that is one block
     h = F.xxhash64("id")
-    as_data = spread.where("home").select("*", F.pmod(h, "nb").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("a"), F.lit(True).alias("data"), ((F.col("nb") == 1) & (F.col("qb") == 1) & F.col("asks")).alias("both"))
-    as_query = spread.where("asks and not (home and nb = 1 and qb = 1)").select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), F.pmod(h, "qb").cast("int").alias("a"), F.lit(False).alias("data"), F.lit(False).alias("both"))
-    blocks = as_data.unionByName(as_query).select("cell", "a", "b", "id", "vec", "data", "both")
+    lone = (F.col("nb") == 1) & (F.col("qb") == 1)
+    of = lambda b, a, data, both: F.struct(b.cast("int").alias("b"), a.cast("int").alias("a"), data.alias("data"), both.alias("both"))
+    none = F.array().cast("array<struct<b:int,a:int,data:boolean,both:boolean>>")
+    as_data = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("qb") - 1), lambda a: of(F.pmod(h, F.col("nb")), a, F.lit(True), lone & F.col("asks")))).otherwise(none)
+    as_query = F.when(F.col("asks") & ~(F.col("home") & lone), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda b: of(b, F.pmod(h, F.col("qb")), F.lit(False), F.lit(False)))).otherwise(none)
+    blocks = spread.withColumn("at", F.explode(F.concat(as_data, as_query))).select("cell", "at.a", "at.b", "id", "vec", "at.data", "at.both")
 
     def search(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates(["id", "vec", "data"])
         x = np.frombuffer(b"".join(g["vec"]), np.float32).reshape(len(g), dim)
         ids, data, q = g["id"].to_numpy(), g["data"].to_numpy(bool), (~g["data"] | g["both"]).to_numpy(bool)
-        got = search_block(ids[data], x[data], ids[q], x[q], centres[key[0]], rotation, k, least) if data.any() and q.any() else []
+        got = search_cells(ids[data], x[data], ids[q], x[q], centres[key[0]], rotation, k, least, probes, margin) if data.any() and q.any() else []
         return pd.DataFrame(got, columns=["query", "id", "cosine"]).astype({"query": "int64", "id": "int64", "cosine": "float64"})
 
     found = blocks.groupBy("cell", "a", "b").applyInPandas(search, schema)

@@ -92,8 +92,13 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_topk, p3_fo
 _KEY = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '^ent::', ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 _TRIM = "regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 
+_OK = "(len({0}) = 64 and list_bool_and(list_transform({0}, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform({0}, lambda x: x <> 0)))"
+_NEAR = """{0}_v as (select distinct ent_id id, {0}::double[] v from entity where ent_id is not null and """ + _OK.format("{0}") + """), {0}_u as (select id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v from {0}_v),
+        {0}_s as (select x.id a, y.id b, max(list_dot_product(x.v, y.v)) s from {0}_u x join {0}_u y on x.id <> y.id group by 1, 2), {0}_n as (select *, row_number() over (partition by a order by s desc, b) r from {0}_s)"""
+
 #: Problems whose result SQL can state; the others are tested against brute force, round trips or planted cases.
 SQL: dict[str, str] = {
+    "p2_found": f"with {_NEAR.format('embedding')}, {_NEAR.format('name_embedding')} select distinct 'embedding' field, least(a, b) ent_a, greatest(a, b) ent_b from embedding_n where r <= 5 and s >= 0.85e0 union all select distinct 'name_embedding', least(a, b), greatest(a, b) from name_embedding_n where r <= 5 and s >= 0.85e0",
     "p5_found": f"""with recursive names as (select distinct {_KEY.format('canonical')} k, ent_id from entity), links as (select distinct x.ent_id a, y.ent_id b from synonym_pair p join names x on x.k = {_KEY.format('p.a')} join names y on y.k = {_KEY.format('p.b')} where x.ent_id <> y.ent_id),
         edges as (select a, b from links union select b, a from links), reach(ent_id, other) as (select a, b from edges union select r.ent_id, e.b from reach r join edges e on e.a = r.other)
         select ent_id, least(ent_id, min(other)) group_id from reach group by ent_id""",

@@ -65,3 +65,13 @@ def test_ties_and_copies(spark):
     assert all(r.a < r.b and r.a // 40 == r.b // 40 for r in pairs)
     near = V.similar_vectors(frame(spark, x), "ent_id", "vec", 5, 16, 0.85).groupBy("query").count().collect()
     assert len(near) == 200 and all(r["count"] == 5 for r in near)
+
+
+def test_cells_inside_a_cell(spark, monkeypatch):
+    """One cell for everything, cut inside: with enough probes nothing is lost, with few hardly anything."""
+    x = clustered(3000, 48, 11)
+    monkeypatch.setattr(V, "MAX_CELLS", 1)
+    want = truth(x, 5, 0.6)
+    for probes, margin, share in ((99, 9.0, 1.0), (8, 0.15, 0.9)):
+        got = {(r["query"], r["id"]) for r in V.similar_vectors(frame(spark, x), "ent_id", "vec", 5, 48, 0.6, probes, margin).collect()}
+        assert len(got & want) >= share * len(want)
