@@ -15,12 +15,16 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoints are deleted when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session for tests, benchmarks and the command line."""
+def build_session(master: str = "local[8]", shuffle_partitions: int = 8, checkpoint_dir: str | None = None, **conf: str) -> SparkSession:
+    """A session for tests, benchmarks and the command line. checkpoint_dir: a folder that all executors share."""
     settings = DEFAULTS | {"spark.sql.shuffle.partitions": str(shuffle_partitions)}
+    if checkpoint_dir:
+        settings["spark.checkpoint.dir"] = checkpoint_dir
     settings |= {k.replace("__", "."): v for k, v in conf.items()}
     spark = SparkSession.builder.master(master).appName("quillmesh").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
