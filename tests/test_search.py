@@ -207,12 +207,14 @@ def test_all_facts_have_their_lexical_score(spark, tmp_path):
 
     v = [1.0] + [0.5] * 63
     tables = {
-        "entity": ([(1, "Mill", "a mill", v, v, "place")], "ent_id bigint, display string, definition string, embedding array<double>, name_embedding array<double>, attribute string"),
-        "fact": ([(i, "Mill", f"mill fact{i}") for i in range(150)], "rel_id bigint, source_title string, relation string"),
+        "entity": ([(1, "mill", "Mill", "a mill", v, v, "place")], "ent_id bigint, canonical string, display string, definition string, embedding array<double>, name_embedding array<double>, attribute string"),
+        "fact": ([(i, "Mill", f"mill fact{i}", 1) for i in range(150)], "rel_id bigint, source_title string, relation string, chunk_id bigint"),
+        "incidence": ([(i, 1, None) for i in range(150)], "rel_id bigint, ent_id bigint, is_title_edge boolean"),
+        "synonym_pair": ([], "pair_id bigint, a string, b string, similarity double"),
         "eval_item": ([(1, "which fact7 of the mill")], "item_id bigint, question string"),
         "embeddings": ([(1, v)], "vec_id bigint, embedding array<double>"),
     }
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    q = P.questions(spark, str(tmp_path))
+    q = P.prepared(spark, str(tmp_path))[2].questions
     assert q.lexical.count() == 2 * 150 and q.seeds.count() == 10
