@@ -16,8 +16,11 @@ from quillmesh.config import RetrievalConfig
 from quillmesh.functions import text as T
 from quillmesh.operators import graph as G
 from quillmesh.operators.skeleton import compatible, neighbours
+from quillmesh.operators.skew import bounded
 from quillmesh.session import cut
 
+#: Vectors of sub-questions or slots that are broadcast at most (half a kilobyte each at 64 dimensions).
+VECTORS = 50_000
 ENDS = "question_id bigint, qid bigint, rel_id bigint, sim double, round int"
 
 
@@ -63,7 +66,8 @@ def relation_round(graph: Graph, q: Questions, candidates: DataFrame, solutions:
     A sub-question's threshold is its best score less a slack in the first round, later the mean of what it has, at least
     a floor. Each relation goes to the eligible sub-question with the best score, the smallest qid on ties.
     """
-    pairs = candidates.join(q.subq, "question_id").join(graph.relation.select("rel_id", F.col("vec").alias("rvec")), "rel_id")
+    # narrow candidates are shuffled to the relations' vectors, and the few sub-questions' vectors come to the tasks
+    pairs = candidates.join(graph.relation.select("rel_id", F.col("vec").alias("rvec")), "rel_id").join(bounded(q.subq, VECTORS), "question_id")
     scored = pairs.select("question_id", "qid", "rel_id", T.dot(F.col("vec"), F.col("rvec")).alias("cos")).join(q.lexical, ["question_id", "qid", "rel_id"], "left")
     scored = scored.select("question_id", "qid", "rel_id", (F.col("cos") + config.hybrid_boost * F.coalesce("score", F.lit(0.0))).alias("score"))
     if first:
@@ -97,7 +101,7 @@ def match_virtual(graph: Graph, slots: DataFrame, reach: DataFrame, config: Retr
     be within a slack of the slot's best, at most the first few.
     """
     virtual = slots.where("virtual").groupBy("question_id", "slot_key").agg(F.min_by(F.struct("attribute", "vec"), "qid").alias("s"))
-    pairs = reach.join(virtual, "question_id").join(graph.entity.select("ent_id", F.col("vec").alias("evec"), "name_vec", F.col("attribute").alias("ent_attr")), "ent_id")
+    pairs = reach.join(graph.entity.select("ent_id", F.col("vec").alias("evec"), "name_vec", F.col("attribute").alias("ent_attr")), "ent_id").join(bounded(virtual, VECTORS), "question_id")
     sims = pairs.select("question_id", "slot_key", "ent_id", ((T.dot(F.col("s.vec"), F.col("evec")) + T.dot(F.col("s.vec"), F.col("name_vec"))) / 2).alias("sim"), compatible(F.col("s.attribute"), F.col("ent_attr"), config.treat_other_as_unknown).alias("fits"))
     sims = cut(sims)
     w = Window.partitionBy("question_id", "slot_key").orderBy(F.desc(F.round("sim", 9)), "ent_id")

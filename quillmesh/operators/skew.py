@@ -21,6 +21,11 @@ def salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], salts: int =
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; they are counted, so df should be a written table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def hot_keys(df: DataFrame, key: str) -> list:
     """Keys with more than a quarter of what a task would have if rows were spread evenly; at most four a task."""
     counts = cut(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")))
