@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from quillmesh.config import RetrievalConfig
 from quillmesh.functions import text as T
 from quillmesh.operators import graph as G
-from quillmesh.operators.search import VECTORS, Graph, Questions
+from quillmesh.operators import scan as C
+from quillmesh.operators.search import Graph, Questions, indexed
 from quillmesh.operators.retrieval import top1_gap
 from quillmesh.operators.skeleton import compatible
-from quillmesh.operators.skew import bounded
 from quillmesh.session import cut
 
 VARIANT = "question_id bigint, var_id int, qid bigint, parent int, chain string, ancestors array<int>, born int"
@@ -109,6 +109,7 @@ def anchor_search(graph: Graph, q: Questions, config: RetrievalConfig = Retrieva
     variants, anchors = root_variants(graph, q.slots, found)
     locked = spark.createDataFrame([], "question_id bigint, var_id int, rel_id bigint, sim double")
     own = found.select("question_id", "slot_key", "ent_id")
+    cards, index = indexed(graph, q)
     for number in itertools.count(1):
         queue = variants.where(F.col("born") == number - 1)
         if queue.isEmpty():
@@ -118,10 +119,12 @@ def anchor_search(graph: Graph, q: Questions, config: RetrievalConfig = Retrieva
         sets = cut(sets)
         members = sets.join(queue.select("question_id", "var_id", "ancestors"), ["question_id", "var_id"])
         contest = members.select("question_id", "grp", F.explode(F.concat(F.array("var_id"), "ancestors")).alias("var_id")).distinct().join(variants.select("question_id", "var_id", "qid"), ["question_id", "var_id"])
-        reach = G.relations_of(graph.incidence, sets.where("var_id = grp").select("question_id", "grp", F.explode("anchors").alias("ent_id")), graph.hubs)
-        free = reach.join(locked.select("question_id", "rel_id").distinct(), ["question_id", "rel_id"], "left_anti")
-        pairs = free.join(contest, ["question_id", "grp"]).join(q.lexical, ["question_id", "qid", "rel_id"], "left").join(graph.relation.select("rel_id", F.col("vec").alias("rvec")), "rel_id").join(bounded(q.subq, VECTORS), ["question_id", "qid"])
-        scored = pairs.select("question_id", "grp", "rel_id", "var_id", (T.dot(F.col("vec"), F.col("rvec")) + config.hybrid_boost * F.coalesce("score", F.lit(0.0))).alias("score")).where(F.col("score") >= config.match_threshold)
+        contest = cut(contest)
+        reach = sets.where("var_id = grp").select("question_id", F.col("grp").cast("bigint").alias("grp"), F.explode("anchors").alias("ent_id"))
+        units = contest.select("question_id", F.col("grp").cast("bigint").alias("grp"), "qid").distinct().join(q.subq, ["question_id", "qid"]).withColumn("floor", F.lit(config.match_threshold))
+        found_by = C.scan(cards, index, units, reach, config.hybrid_boost).where(F.col("score") >= config.match_threshold)
+        free = found_by.withColumn("grp", F.col("grp").cast("int")).join(locked.select("question_id", "rel_id").distinct(), ["question_id", "rel_id"], "left_anti")
+        scored = free.join(contest, ["question_id", "grp", "qid"]).select("question_id", "grp", "rel_id", "var_id", "score")
         new = cut(lock_in_order(cut(scored), config))
         if new.isEmpty():
             break

@@ -7,7 +7,11 @@ vector is the mean of its entities' vectors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh import programs as P
@@ -19,31 +23,69 @@ from quillmesh.operators import search as S
 from quillmesh.operators import variants as V
 from quillmesh.plans.graphs import synonyms
 from quillmesh.plans.retrieval import _ASKED, _cos, _ok, asked
-from quillmesh.session import cut
+from quillmesh.session import cut, parallelism
 from quillmesh.sources.tables import table
 
 #: The vectors stand in for a text encoder and are less alike than its vectors, so an entity matches from 0.3 on.
 CONFIG = RetrievalConfig(match_threshold=0.3)
 DIM = 64
+#: Entity vectors that are broadcast at most (some 30 MB at single precision).
+ENTITIES = 100_000
 _TABLES: dict[tuple[str, str], tuple[P.Store, P.Asked]] = {}
 _KEPT: dict[tuple[str, str], P.Prepared] = {}
 
 
-def _mean_vector(vec: str) -> Column:
-    return F.array(*(F.avg(F.col(vec)[i].cast("double")) for i in range(DIM)))
+def _mean_vectors(inc: DataFrame, ent: DataFrame) -> DataFrame:
+    """(rel_id, vec): the mean of the vectors of a relation's entities, each at length 1 and as often as it stands in inc, at length 1.
+
+    A relation's rows meet in one task, in order, and are summed up as a stream; where the entities' vectors fit into a
+    broadcast, the narrow rows of inc are all that is shuffled.
+    """
+    parts, few = parallelism(inc.sparkSession), ent.limit(ENTITIES + 1).count() <= ENTITIES
+    rows = inc.repartition(parts, "rel_id").join(F.broadcast(ent), "ent_id") if few else inc.join(ent, "ent_id").repartition(parts, "rel_id")
+    rows = rows.where("rel_id is not null").select("rel_id", "ent_id", "vec").sortWithinPartitions("rel_id", "ent_id").select("rel_id", "vec")
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rel: np.ndarray, sums: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            ends = pa.array(np.arange(len(rel) + 1) * DIM, pa.int32())
+            mean = sums / n[:, None]
+            unit = mean / np.maximum(np.sqrt((mean * mean).sum(axis=1, keepdims=True)), 1e-8)
+            return pa.RecordBatch.from_arrays([pa.array(rel, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))], ["rel_id", "vec"])
+
+        rest = None
+        for b in batches:
+            rel = b.column(0).to_numpy()
+            if not len(rel):
+                continue
+            vec = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM).astype(np.float64)
+            vec = vec / np.sqrt((vec * vec).sum(axis=1, keepdims=True))
+            first = np.flatnonzero(np.concatenate(([True], rel[1:] != rel[:-1])))
+            ids, sums, n = rel[first], np.add.reduceat(vec, first, axis=0), np.diff(np.append(first, len(rel)))
+            if rest is not None and rest[0][0] == ids[0]:
+                sums[0] += rest[1][0]
+                n[0] += rest[2][0]
+            elif rest is not None:
+                yield made(*rest)
+            rest = ids[-1:], sums[-1:], n[-1:]
+            yield made(ids[:-1], sums[:-1], n[:-1])
+        if rest is not None:
+            yield made(*rest)
+
+    return rows.mapInArrow(means, "rel_id bigint, vec array<double>")
 
 
 def store(spark: SparkSession, d: str) -> P.Store:
     e = table(spark, d, "entity").dropDuplicates(["ent_id"])
     usable = e.where(R._usable(F.col("embedding"), DIM) & R._usable(F.col("name_embedding"), DIM))
-    norm = lambda c: F.transform(F.col(c), lambda x: x / F.sqrt(T.dot(F.col(c), F.col(c))))
-    ent = cut(usable.select("ent_id", "display", T.entity_index_text(F.col("display"), F.col("definition")).alias("text"), norm("embedding").alias("vec"), norm("name_embedding").alias("name_vec"), "attribute"))
+    # the norm stands outside the function of the elements, which would compute it again for each
+    norm = lambda c: F.zip_with(F.col(c), F.array_repeat(F.sqrt(T.dot(F.col(c), F.col(c))), F.size(c)), lambda x, n: x / n)
+    raw = cut(usable.select("ent_id", "display", T.entity_index_text(F.col("display"), F.col("definition")).alias("text"), "embedding", "name_embedding", "attribute"))
+    ent = raw.select("ent_id", "display", "text", norm("embedding").alias("vec"), norm("name_embedding").alias("name_vec"), "attribute")
     inc = cut(table(spark, d, "incidence").select("rel_id", "ent_id", F.coalesce("is_title_edge", F.lit(False)).alias("is_title_edge")))
-    mean = inc.select("rel_id", "ent_id").join(ent.select("ent_id", "vec"), "ent_id").groupBy("rel_id").agg(_mean_vector("vec").alias("m"))
-    unit = mean.select("rel_id", F.transform("m", lambda x: x / F.greatest(F.sqrt(T.dot(F.col("m"), F.col("m"))), F.lit(1e-8))).alias("vec"))
+    unit = _mean_vectors(inc.select("rel_id", "ent_id"), raw.select("ent_id", F.col("embedding").alias("vec")))
     t, r = F.col("source_title"), F.col("relation")
     rel = table(spark, d, "fact").select("rel_id", T.relation_text(t, r).alias("text"), T.relation_index_text(t, r).alias("index_text"), "source_title", "chunk_id")
-    return P.Store(ent, cut(rel.join(unit, "rel_id")), inc, cut(synonyms(spark, d)))
+    return P.Store(ent, rel.join(unit, "rel_id"), inc, cut(synonyms(spark, d)))
 
 
 def questions(spark: SparkSession, d: str) -> P.Asked:

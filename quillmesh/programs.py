@@ -19,10 +19,11 @@ from quillmesh.operators import build as B
 from quillmesh.operators import evaluation as E
 from quillmesh.operators import graph as G
 from quillmesh.operators import retrieval as R
+from quillmesh.operators import scan as C
 from quillmesh.operators import search as S
 from quillmesh.operators import skeleton
 from quillmesh.operators import variants as V
-from quillmesh.operators.skew import hot_keys
+from quillmesh.operators.skew import bounded
 from quillmesh.session import cut
 
 ENGINES = ("iterative", "anchored", "pagerank")
@@ -67,7 +68,7 @@ def prepare(store: Store, asked: Asked, config: RetrievalConfig = RetrievalConfi
     questions and sub-questions. Seeds are, for the question and its sub-questions with a real slot, the lexically best
     relations, of these the most similar.
     """
-    graph = S.Graph(cut(store.relation.select("rel_id", "vec")), cut(store.entity.select("ent_id", "vec", "name_vec", "attribute")), store.incidence, cut(store.synonym), hot_keys(store.incidence, "ent_id"))
+    graph = S.Graph(store.relation.select("rel_id", "vec"), cut(store.entity.select("ent_id", "vec", "name_vec", "attribute")), store.incidence, cut(store.synonym))
     real = store_slots = asked.slots.where("not virtual")
     names = real.select(F.col("embed_text").alias("query_id"), F.col("embed_text").alias("text"), "vec").dropDuplicates(["query_id"])
     docs = store.entity.select(F.col("ent_id").alias("doc_id"), "text", "vec", "name_vec")
@@ -77,16 +78,18 @@ def prepare(store: Store, asked: Asked, config: RetrievalConfig = RetrievalConfi
 
     anchored = asked.subq.join(real.select("question_id", "qid").distinct(), ["question_id", "qid"], "left_semi")
     texts = asked.question.select("text", "vec").unionByName(asked.subq.select("text", "vec")).where("text is not null").dropDuplicates(["text"]).select(F.col("text").alias("query_id"), "text", "vec")
-    rel_docs = store.relation.select(F.col("rel_id").alias("doc_id"), F.col("index_text").alias("text"), "vec")
-    scores = cut(R.bm25_scores(rel_docs, texts.select("query_id", "text")))
-    normal = R.normalized_scores(scores).withColumn("score", F.round("score", 9))
-    lexical = asked.subq.select("question_id", "qid", F.col("text").alias("query_id")).join(normal, "query_id").select("question_id", "qid", F.col("doc_id").alias("rel_id"), "score")
-    pool = R.top_k(scores.withColumn("score", F.round("score", 9)), ["query_id"], [F.desc("score"), F.col("doc_id")], config.bm25_top)
+    rel_docs = store.relation.select(F.col("rel_id").alias("doc_id"), F.col("index_text").alias("text"))
+    postings, weights, pool = C.index_texts(rel_docs, texts.select("query_id", "text"), config.bm25_top)
+    index = C.Index(postings, cut(asked.subq.select("question_id", "qid", F.col("text").alias("query_id")).join(weights, "query_id").drop("query_id")))
+    graph.cards = C.cards(graph.relation, store.incidence, index)
+    # the few relations of the pool are picked before vectors are shuffled
+    pool = cut(pool)
+    rel_docs = graph.cards.select(F.col("rel_id").alias("doc_id"), "vec").join(bounded(pool.select("doc_id").distinct(), R.BROADCAST_ROWS), "doc_id", "left_semi")
     near = R.top_k(R.rerank(pool.select("query_id", "doc_id"), rel_docs, texts, ("vec",)), ["query_id"], [F.desc("sim"), F.col("doc_id")], config.seed_top)
     sought = asked.question.join(anchored.select("question_id").distinct(), "question_id", "left_semi").select("question_id", "text").unionByName(anchored.select("question_id", "text")).withColumnRenamed("text", "query_id").distinct()
     seeds = sought.join(near, "query_id").select("question_id", F.col("doc_id").alias("rel_id")).distinct()
     vec = F.col("vec").cast("array<double>").alias("vec")
-    questions = S.Questions(cut(asked.subq.select("question_id", "qid", vec)), cut(asked.slots.withColumn("vec", vec)), start, cut(lexical), cut(seeds), found)
+    questions = S.Questions(cut(asked.subq.select("question_id", "qid", vec)), cut(asked.slots.withColumn("vec", vec)), start, index.scores(), cut(seeds), found, index)
     bindings = B.anchor_bindings(asked.slots, start, store.entity)
     return Prepared(graph, questions, cut(skeleton.chains(asked.slots)), cut(bindings))
 
